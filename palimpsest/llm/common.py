@@ -49,3 +49,36 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 def buckets_for(size: int, each: int = 8 << 20, least: int = 16) -> int:
     """How many hash buckets keep a bucket's share of `size` bytes near `each`."""
     return max(least, -(-size // each))
+
+
+def add_columns(df: DataFrame, fields: str, make, column: str = "text", also: tuple[str, ...] = (), piece: int = 8 << 20) -> DataFrame:
+    """df with the columns of `fields` (DDL), which replace any of the same names.
+
+    make(texts, *others) gets a pyarrow binary array of `column` (null: empty) and the arrays of `also`, in pieces of about `piece` bytes, and returns one
+    pyarrow array for each field. Other columns pass through as Arrow buffers; Python never touches them.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(fields)
+    rest = [f for f in df.schema.fields if f.name not in new.fieldNames()]
+    schema = StructType(rest + new.fields)
+    arrow, at = to_arrow_schema(schema), [df.columns.index(f.name) for f in rest]
+    text_at, also_at = df.columns.index(column), [df.columns.index(c) for c in also]
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column(text_at).cast(pa.large_binary()), b"")
+            ends = pc.cumulative_sum(pc.binary_length(texts)).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < len(texts):
+                base = ends[start - 1] if start else 0
+                end = max(start + 1, int(ends.searchsorted(base + piece, "right")))
+                made = make(texts.slice(start, end - start), *[batch.column(i).slice(start, end - start) for i in also_at])
+                old = [batch.column(i).slice(start, end - start).cast(arrow.field(k).type) for k, i in enumerate(at)]
+                yield pa.RecordBatch.from_arrays([*old, *[m.cast(arrow.field(len(at) + k).type) for k, m in enumerate(made)]], schema=arrow)
+                start = end
+
+    return df.mapInArrow(run, schema)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
+from .decontamination import op1_decontamination
 from .pii import op6_pii
+from .quality import op2_quality
 from .sharding import op7_sharding
 from .url_filter import op4_url_filter
+from .wrapper import op9_wrapper
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
+    "op8_bpe": op8_bpe,
+    "op9_wrapper": op9_wrapper,
 }
 ORACLE_SQL: dict[str, str] = {}
