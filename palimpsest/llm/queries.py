@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .decontamination import op1_decontamination
+from .near_dedup import op10_near_dedup
 from .pii import op6_pii
 from .quality import op2_quality
 from .sharding import op7_sharding
+from .substring import op5_substring
 from .url_filter import op4_url_filter
 from .wrapper import op9_wrapper
 
@@ -14,9 +16,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
+    "op5_substring": op5_substring,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_bpe": op8_bpe,
     "op9_wrapper": op9_wrapper,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
