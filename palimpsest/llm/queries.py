@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .decontamination import op1_decontamination
+from .hmm import op3_hmm
 from .near_dedup import op10_near_dedup
 from .pii import op6_pii
 from .quality import op2_quality
@@ -15,6 +16,7 @@ from .wrapper import op9_wrapper
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_hmm": op3_hmm,
     "op4_url_filter": op4_url_filter,
     "op5_substring": op5_substring,
     "op6_pii": op6_pii,
