@@ -1,8 +1,58 @@
-"""The corpus pipeline: every stage works on what its predecessor kept."""
+"""The corpus pipeline: from documents to token ids, in stages that each work on all that the one before kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and rereads as the next one's docs. All but the last return the columns of documents.
+SQL cannot express tokenisers, so there is no ORACLE_SQL; tests hold run() against the stages' brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, decontamination, near_dedup, pii, quality
+from palimpsest.llm.common import cut, ship
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    ship(spark)
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates; rows without doc_id cannot be told apart and stay."""
+    ship(spark)
+    gone = cut(near_dedup.components(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which an item of the benchmark was found."""
+    ship(spark)
+    found = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.coalesce(F.size("leaks"), F.lit(0)) <= 0).select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts [KIND] in place of personal data; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes again: token_ids (little-endian unsigned 32-bit numbers) with digests of both directions."""
+    ship(spark)
+    out = bpe.decode(bpe.encode(docs))
+    rest = [c for c in docs.columns if c != "text"]
+    return out.select(*rest, (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
+
+
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup_stage), ("decontamination", decontaminate), ("pii", redact_pii), ("bpe", encode_bpe)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs

@@ -82,3 +82,13 @@ def add_columns(df: DataFrame, fields: str, make, column: str = "text", also: tu
                 start = end
 
     return df.mapInArrow(run, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that this session starts import the package from where it is here; a cluster gets it by --py-files or its image."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
