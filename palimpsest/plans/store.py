@@ -125,7 +125,7 @@ class Engine:
     def _sweep(self) -> None:
         """Deletes what no commit names."""
         self.files.delete("staging")
-        named = {x for c in self.commits() for part in c.get("tables", {}).values() for x in part["data"]}
+        named = {x for c in self.commits() for part in c.get("tables", {}).values() for x in part["data"]} | {x for c in self.commits() for x in c.get("data", ())}
         for top in ("tables", "quarantine"):
             for t in self.files.names(top):
                 inner = (top, t, "versions") if top == "tables" else (top, t)
@@ -262,8 +262,9 @@ class Engine:
             schema = schema.add(c, {"timestamp": "timestamp", "string": "string", "bigint": "long", "int": "integer", "boolean": "boolean"}[kind])
         if not names:
             return self.spark.createDataFrame([], schema)
-        frames = [self.spark.read.schema(schema).option("basePath", self.files.at(n)).parquet(self.files.at(n)) for n in names]
-        return reduce(DataFrame.unionByName, frames)
+        # One scan, however many transactions: transaction and bucket are folders, so both can be pruned.
+        top = self.files.at(names[0].rsplit("/", 1)[0])
+        return self.spark.read.schema(schema.add("txn", "long")).option("basePath", top).parquet(*map(self.files.at, names)).drop("txn")
 
     def _touched_log(self, table: str, cfg: TableConfig, keys: DataFrame, commits: list[dict]) -> DataFrame:
         """The log's rows in the buckets that the keys fall in: the filter prunes folders."""
@@ -290,7 +291,7 @@ class Engine:
         commits = self.commits()
         cfg = self.config(table, commits)
         txn, tx = self._next(commits)
-        to = f"tables/{table}/versions/compact={txn:020d}"
+        to = f"tables/{table}/versions/txn={txn:020d}"
         self.log(table, commits, bucket=True).repartition("_bucket").sortWithinPartitions("_bucket", *cfg.business_key, "_valid_from", "_tx").write.partitionBy("_bucket").parquet(self.files.at(to))
         return self._commit({"type": "compact", "txn_id": txn, "tx_time": tx, "compacted": {table: [to]}, "tables": {}, "data": [to]})
 

@@ -31,8 +31,8 @@ def change_feed(engine: Engine, table: str, after_txn: int = 0) -> DataFrame:
 
 
 def change_stream(spark: SparkSession, engine: Engine, table: str) -> DataFrame:
-    """The same as a stream over the version files, each version once; rows of transactions that were never committed are left out where they are read."""
-    cfg = engine.config(table)
-    schema = engine._read([], cfg).schema
+    """The same as a stream over the version files, each version once. A compacted folder repeats older transactions' rows, and is passed over."""
+    schema = engine._read([], engine.config(table)).schema
     raw = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(engine.files.at("tables", table, "versions", "txn=*"))
-    return raw.drop("_bucket")
+    own = F.regexp_extract(F.col("_metadata.file_path"), r"/txn=([0-9]+)/", 1).cast("bigint") == F.col("_txn_id")
+    return raw.where(own).drop("_bucket")
