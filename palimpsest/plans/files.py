@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
@@ -55,8 +56,6 @@ class Files:
         self.fs.mkdirs(path.getParent())
         if self.fs.exists(path):
             return False
-        import uuid
-
         part = self._path(f"{path.getParent().toString()}/.{path.getName()}.{uuid.uuid4().hex}")
         stream = self.fs.create(part, False)
         stream.write(bytearray(text.encode()))
@@ -88,3 +87,14 @@ class Files:
 
     def json(self, *parts: str) -> dict:
         return json.loads(self.read(*parts))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df evaluated once, as a table in the folder that spark.checkpoint.dir names (a folder of our own only where that is unset); it goes when the application ends."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{top.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

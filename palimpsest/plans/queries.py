@@ -12,6 +12,7 @@ from ..operators.intervals import from_intervals
 from ..operators.publish import consolidate, render
 from ..operators.stage import from_frame, stage
 from .config import Gate, TableConfig
+from .files import settled
 from .types import parse_type
 
 ORDERS = TableConfig(
@@ -70,9 +71,10 @@ def _first(spark: SparkSession, sf_dir: str, cfg: TableConfig = ORDERS) -> DataF
 
 
 def _beliefs(spark: SparkSession, sf_dir: str, cfg: TableConfig = ORDERS, of: int = 3) -> DataFrame:
+    """The log after all batches. Each batch reads the log twice, so what it is by then is settled first."""
     log = None
     for n in range(of):
-        log = fold(log, _orders(spark, sf_dir, cfg, n, of), cfg, n + 1)
+        log = fold(None if log is None else settled(log), _orders(spark, sf_dir, cfg, n, of), cfg, n + 1)
     return log
 
 
@@ -94,7 +96,7 @@ def scd2_history_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bitemporal_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _beliefs(spark, sf_dir)
+    log = settled(_beliefs(spark, sf_dir))
     out = [_chain(reads.as_of(log, ORDERS, AS_OF, tx), ORDERS).withColumn("known_at", F.lit(tx)) for tx in (1, 2, 3)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -104,7 +106,7 @@ def latest_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _second(spark: SparkSession, sf_dir: str, cfg: TableConfig) -> Decision:
-    log = fold(None, _orders(spark, sf_dir, cfg, 0, 2), cfg, 1)
+    log = settled(fold(None, _orders(spark, sf_dir, cfg, 0, 2), cfg, 1))
     pending = _orders(spark, sf_dir, cfg, 1, 2)
     return decide(touched(reads.latest(log, cfg), pending, cfg), pending, cfg)
 
@@ -196,6 +198,7 @@ def full_snapshot_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = orders.where((F.col("o_orderdate") >= F.lit(begin).cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")))
         pending = _pending(from_frame(own, cfg, F.col("o_orderkey")), cfg, end)
         if log is not None:
+            log = settled(log)
             gone = missing_keys(reads.current(log, cfg), pending, cfg, F.lit(end).cast("timestamp"))
             pending = pending.select(*cfg.names, "_valid_from", "_delete", "_absent", "_ord").unionByName(gone.withColumn("_ord", F.lit(None).cast("bigint")))
         log, begin = fold(log, pending, cfg, n), end
@@ -227,7 +230,7 @@ def nested_tracked_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays as tracked values: a second batch repeats some vectors and changes others."""
     cfg = TableConfig("vectors", ("vec_id",), (("vec_id", "long"), ("embedding", "array<float>"), ("label", "int")))
     df = _table(spark, sf_dir, "embeddings")
-    log = fold(None, _pending(from_frame(df, cfg, F.col("vec_id")), cfg, "2024-01-01"), cfg, 1)
+    log = settled(fold(None, _pending(from_frame(df, cfg, F.col("vec_id")), cfg, "2024-01-01"), cfg, 1))
     changed = df.withColumn("embedding", F.when(F.pmod("vec_id", F.lit(3)) == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
     log = fold(log, _pending(from_frame(changed, cfg, F.col("vec_id")), cfg, "2024-02-01"), cfg, 2)
     return _plain(log.select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), "label", F.col("_valid_from").alias("valid_from"), F.col("_valid_to").alias("valid_to"), F.col("_op").alias("op"), F.col("_tx").alias("tx")))
