@@ -77,6 +77,7 @@ def parser() -> argparse.ArgumentParser:
     add("manifest", ("action", {"choices": ["show", "list"]}), ("what", {"nargs": "?"}), ("--limit", {"type": int, "default": 20}))
     add("quarantine", ("action", {"choices": ["list", "reapply"]}), "table", ("--id", {"action": "append"}), ("--load-id", {}), ("--limit", {"type": int, "default": 100}))
     add("stats")
+    add("serve", ("--port", {"type": int, "default": 8080}))
     add("run-id")
     return p
 
@@ -141,6 +142,10 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None):
                 return e.verify()
             case "stats":
                 return e.stats()
+            case "serve":
+                from .server import serve
+
+                serve(e, args.port).serve_forever()
             case "manifest":
                 return e.manifest(args.what) if args.action == "show" else e.manifests(args.what, args.limit)
             case "quarantine" if args.action == "reapply":

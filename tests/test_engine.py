@@ -53,6 +53,8 @@ def test_walk_through(engine, tmp_path):
     (tmp_path / "x.csv").write_text('customer_id,name,risk_score,segment,exposure,updated_at,_op\nC1,"Alice ""A"", B",120.5,RETAIL,1.5,2026-07-04T00:00:00Z,\nC4,Dan,10,SME,2,2026-07-04T00:00:00Z,upsert\nC3,,,,,2026-07-05T00:00:00Z,delete\n')
     t = load(e, readers.read(e.spark, str(tmp_path / "x.csv")), "customer", "L2", False, None)["tables"]["customer"]
     assert numbers(t, "inserts", "updates", "deletes") == (1, 1, 1)
+    (tmp_path / "same.csv").write_text((tmp_path / "x.csv").read_text())
+    assert load(e, readers.read(e.spark, str(tmp_path / "same.csv")), "customer", "L2", False, None)["tables"]["customer"] == t
     (tmp_path / "e.json").write_text(json.dumps({"table": "customer", "load_id": "L3", "effective_at": "2026-07-10T00:00:00Z", "defaults": {"segment": "RETAIL"}, "source": "desk", "records": [{"customer_id": "C1", "name": 'Alice "A", B', "risk_score": 140, "exposure": "1.5"}]}))
     one = load(e, readers.read(e.spark, str(tmp_path / "e.json")), None, None, False, None)
     again = load(e, readers.read(e.spark, str(tmp_path / "e.json")), None, None, False, None)
