@@ -42,7 +42,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes again: token_ids (little-endian unsigned 32-bit numbers) with digests of both directions."""
     ship(spark)
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.encode(docs, decoded=True)
     rest = [c for c in docs.columns if c != "text"]
     return out.select(*rest, (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
 

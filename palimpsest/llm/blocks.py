@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 
 #: UTF-8 bytes of text in a block.
-BLOCK = 5 << 20
+BLOCK = 4 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:

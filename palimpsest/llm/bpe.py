@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import by_bucket, cut_blocks, name_of, pack, pack_words, unpack, unpack_words
-from .common import add_columns, buckets_for, text_bytes
+from .common import add_columns, buckets_for, over_batches, over_group, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of distinct words that a bucket holds on average, if a quarter of a block's text is distinct words.
@@ -138,13 +138,16 @@ def block_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [words[i].encode("utf-8", "surrogatepass") for i in order], rank[ids], np.bincount(owner[inner], minlength=len(texts))
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep_text: bool = False) -> DataFrame:
-    """docs with token_ids: the ids as little-endian unsigned 32-bit numbers. The text itself is moved along only if keep_text."""
+def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep_text: bool = False, decoded: bool = False) -> DataFrame:
+    """docs with token_ids: the ids as little-endian unsigned 32-bit numbers. The text itself is moved along only if keep_text.
+
+    decoded: with the column of decode() too, made in the same pass, so that a task needs one Python worker and not two.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructType
 
-    docs = docs.drop("token_ids")
+    docs = docs.drop("token_ids", *["decoded"] * decoded)
     buckets = buckets_for(text_bytes(docs, text) // 4, BUCKET)
     text_at = docs.columns.index(text)
     moving, names = "block bigint, bucket int, payload binary", ["block", "bucket", "payload"]
@@ -191,6 +194,8 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
 
     rest = StructType([f for f in docs.schema.fields if keep_text or f.name != text])
     schema = StructType(rest.fields).add("token_ids", BinaryType())
+    if decoded:
+        schema = schema.add("decoded", BinaryType())
     arrow = to_arrow_schema(schema)
 
     def put_back(table: pa.Table) -> pa.Table:
@@ -218,15 +223,22 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
             m = lengths[w]
             at = np.repeat(starts[w] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum())) if b > a else np.zeros(0, np.int64)
             out.append(flat[at].tobytes())
-        tokens = pa.array(out, pa.binary())
+        tokens = [pa.chunked_array([pa.array(out, pa.binary())])]
+        if decoded:
+            tokens.append(pa.chunked_array([pa.array((bytes_of(x, vocabulary) for x in out), pa.binary())]))
         tables = []
         for payload in blocks:
             batch = pa.ipc.open_stream(payload).read_all()
-            tables.append(pa.Table.from_arrays([*[c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)], pa.chunked_array([tokens])], schema=arrow))
+            tables.append(pa.Table.from_arrays([*[c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)], *tokens], schema=arrow))
         return pa.concat_tables(tables)
 
-    answers = docs.mapInArrow(ask, moving).groupBy("bucket").applyInArrow(answer, moving)
-    return docs.mapInArrow(numbers, moving).unionByName(answers).groupBy("block").applyInArrow(put_back, schema)
+    answers = docs.mapInArrow(over_batches(ask), moving).groupBy("bucket").applyInArrow(over_group(answer), moving)
+    return docs.mapInArrow(over_batches(numbers), moving).unionByName(answers).groupBy("block").applyInArrow(over_group(put_back), schema)
+
+
+def bytes_of(token_ids: bytes, vocabulary: str = VOCABULARY) -> bytes:
+    """Decoding: each id joins the token-byte table."""
+    return b"".join(map(token_bytes(vocabulary).__getitem__, np.frombuffer(token_ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -234,13 +246,12 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     import pyarrow as pa
 
     def make(ids):
-        table = token_bytes(vocabulary)
-        return [pa.array([b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()], pa.binary())]
+        return [pa.array([bytes_of(x, vocabulary) for x in ids.to_pylist()], pa.binary())]
 
     return add_columns(encoded, "decoded binary", make, "token_ids")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = encode(docs, decoded=True)
     return out.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

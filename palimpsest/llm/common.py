@@ -41,6 +41,40 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused by later stages and stand beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def over_batches(make):
+    """make(batches) for mapInArrow, tidied up after."""
+
+    def run(batches):
+        yield from make(batches)
+        give_back()
+
+    return run
+
+
+def over_group(make):
+    """make(table) for applyInArrow, tidied up after."""
+
+    def run(table):
+        out = make(table)
+        give_back()
+        return out
+
+    return run
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column."""
     return int(df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
@@ -51,7 +85,7 @@ def buckets_for(size: int, each: int = 8 << 20, least: int = 16) -> int:
     return max(least, -(-size // each))
 
 
-def add_columns(df: DataFrame, fields: str, make, column: str = "text", also: tuple[str, ...] = (), piece: int = 8 << 20) -> DataFrame:
+def add_columns(df: DataFrame, fields: str, make, column: str = "text", also: tuple[str, ...] = (), piece: int = 3 << 20) -> DataFrame:
     """df with the columns of `fields` (DDL), which replace any of the same names.
 
     make(texts, *others) gets a pyarrow binary array of `column` (null: empty) and the arrays of `also`, in pieces of about `piece` bytes, and returns one
@@ -81,7 +115,7 @@ def add_columns(df: DataFrame, fields: str, make, column: str = "text", also: tu
                 yield pa.RecordBatch.from_arrays([*old, *[m.cast(arrow.field(len(at) + k).type) for k, m in enumerate(made)]], schema=arrow)
                 start = end
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(over_batches(run), schema)
 
 
 def ship(spark: SparkSession) -> None:

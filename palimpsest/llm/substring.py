@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cut_blocks, name_of, pack, unpack
-from .common import cut, text_bytes
+from .common import cut, over_batches, over_group, text_bytes
 
 WINDOW, ANCHOR = 13, 7
 #: Hashes in a bucket on average; bits of a probe's hash beyond the logarithm of all windows; bytes of text a word, at least.
@@ -265,12 +265,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             out.append(pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words.n), pa.array(n)], schema=arrow))
         return pa.concat_tables(out)
 
-    texts = docs.mapInArrow(send_texts, moving)
-    hits = cut(docs.mapInArrow(send_probes, moving).groupBy("bucket").applyInArrow(answer_probes, moving))
+    texts = docs.mapInArrow(over_batches(send_texts), moving)
+    hits = cut(docs.mapInArrow(over_batches(send_probes), moving).groupBy("bucket").applyInArrow(over_group(answer_probes), moving))
     known = texts.unionByName(hits)
-    asked = known.groupBy("block").applyInArrow(send_repeats, moving)
-    repeats = asked.groupBy("bucket").applyInArrow(answer_repeats, moving)
-    return known.unionByName(repeats).groupBy("block").applyInArrow(finish, schema)
+    asked = known.groupBy("block").applyInArrow(over_group(send_repeats), moving)
+    repeats = asked.groupBy("bucket").applyInArrow(over_group(answer_repeats), moving)
+    return known.unionByName(repeats).groupBy("block").applyInArrow(over_group(finish), schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut
+from .common import add_columns, cut, over_batches, over_group
 from .url_filter import host_of
 
 #: Pages from which on a slot's text can be called constant; wrappers' bytes up to which they are broadcast.
@@ -255,11 +255,11 @@ def induce(pages: DataFrame, html: str = "html", host: str = "_host") -> DataFra
         whole = together([json.loads(w) for w in sorted(table.column("wrapper").to_pylist())])
         return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(whole)])})
 
-    partial = pages.mapInArrow(within, "host string, wrapper string")
+    partial = pages.mapInArrow(over_batches(within), "host string, wrapper string")
     # Two levels: a host that all tasks have meets in 16 groups first.
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    first = salted.groupBy("host", "salt").applyInArrow(merged, "host string, wrapper string")
-    return first.groupBy("host").applyInArrow(merged, "host string, wrapper string")
+    first = salted.groupBy("host", "salt").applyInArrow(over_group(merged), "host string, wrapper string")
+    return first.groupBy("host").applyInArrow(over_group(merged), "host string, wrapper string")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:

@@ -47,6 +47,7 @@ def test_encoding_round_trip(spark, write):
     assert got == sorted(((i, len(ids(t)), sha(ids(t).tobytes()), sha((t or "").encode())) for i, t in docs), key=str)
     assert bpe.op8_bpe(spark, write(documents=[])).count() == 0
     df = spark.read.parquet(write(documents=[(1, "hello"), (2, None)]) + "/documents.parquet")
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(df)).collect()} == {1: b"hello", 2: b""}
     assert set(bpe.encode(df, keep_text=True).columns) == {*df.columns, "token_ids"}
 
 
