@@ -2,6 +2,7 @@
 
 Every distinct word of a piece of the table is tokenised once, on its own, by two public vocabularies: a byte-level one (for characters per token and
 the entropy of tokens) and one of pieces with byte fallback (for the share of tokens that are bare bytes). A text's measures follow from its words'.
+Entropy is compared at equal length: it is the mean over consecutive windows of about SPAN tokens that cover the whole text, since that of running prose levels off while its bound would go on growing.
 A text is rejected whose measure leaves its language's band; languages without a band of their own use that of the script most letters have, else a wide one.
 
 Base: repeated 8-word windows, repeated lines, symbols and word counts by the contract's definitions.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import add_columns
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
+#: Tokens in a window of the entropy; a text is dealt evenly into windows nearest to this, one if it is shorter.
+SPAN = 4000
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 #: (least characters per token, most; most byte-fallback share; least entropy of tokens as a share of the most that so many tokens can have).
 LATIN, OTHER = (1.5, 8.0, 0.10, 0.40), (0.3, 12.0, 0.60, 0.30)
@@ -118,7 +121,7 @@ class Fertility:
 
 
 def entropy_share(flat: np.ndarray, starts: np.ndarray, words: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
-    """For each text the entropy of its tokens over the logarithm of their number (at most the vocabulary's); 1 for a single token."""
+    """For each text the mean, over all its tokens' windows, of a window's entropy over the logarithm of its length; 1 for a single token."""
     out = np.ones(len(word_starts) - 1)
     for d in range(len(out)):
         w = words[word_starts[d] : word_starts[d + 1]]
@@ -126,10 +129,13 @@ def entropy_share(flat: np.ndarray, starts: np.ndarray, words: np.ndarray, word_
         total = int(n.sum())
         if total > 1:
             at = np.repeat(starts[w] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-            ids = np.sort(flat[at])
+            k = max(1, round(total / SPAN))
+            window = np.arange(total) * k // total
+            ids = np.sort((window << 32) + flat[at])
             edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-            c = np.diff(edges)
-            out[d] = max(0.0, (np.log(total) - (c * np.log(c)).sum() / total) / np.log(min(total, 50_000)))
+            c, size = np.diff(edges), np.bincount(window)
+            lost = np.bincount(ids[edges[:-1]] >> 32, c * np.log(c), k)
+            out[d] = max(0.0, float((size - lost / np.log(size)).sum() / total))
     return out
 
 

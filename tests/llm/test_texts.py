@@ -75,6 +75,24 @@ def test_fertility_separates_symbols_from_prose():
     assert sum(clean) >= 0.98 * len(clean)
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_length_alone_rejects_no_clean_text(n):
+    import pyarrow.dataset as ds
+
+    rng = random.Random(8)
+    docs = ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table().to_pylist()
+    names = [f.split()[0] for f in quality.FIELDS.split(", ")]
+    fertility = quality.Fertility()
+    for lang in ("en", "de", "fr", "es"):
+        own = [d["text"] for d in docs if d["lang"] == lang]
+        cols = quality.measure_texts([t.encode() for t in own], [lang] * len(own), fertility)
+        words = [w for t, k in zip(own, cols[-1].to_pylist(), strict=True) if k for w in t.split()]
+        dull = rng.sample(sorted(set(words)), 12)
+        texts = [" ".join(rng.choice(source) for _ in range(n)).encode() for source in (words, dull)]
+        made = dict(zip(names, (c.to_pylist() for c in quality.measure_texts(texts, [lang] * 2, fertility)), strict=True))
+        assert made["base_failed"] == [False, False] and made["kept"] == [True, False], (lang, made)
+
+
 def test_repeats_survive_a_hash_that_fails(monkeypatch):
     ids, starts = np.array([0, 1, 2, 3, 4, 5, 6, 7] * 3 + [9] * 7), np.array([0, 31])
     assert quality.repeated(ids, starts).sum() == 24
