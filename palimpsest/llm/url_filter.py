@@ -6,7 +6,8 @@ hosts that a block rule covers whole, against the direction of links (who links
 distrust is at least BLOCK_AT of the distrust that a seed's teleport brings it on average and exceeds its trust.
 
 Links come from the pages' href values; edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row.
-Everything is DataFrame expressions; scores live in a table of hosts and are never collected. Lineage is cut every CUT_EVERY rounds.
+Everything is DataFrame expressions; scores live in a table of hosts and are never collected. Lineage is cut every CUT_EVERY rounds. A round shrinks the distance (L1) to the
+settled scores by DAMPING and it is 2 at most at the start, so ROUNDS rounds bring it below TOLERANCE; scores that stand still before that end the rounds.
 
 Nulls: a null url, or one without ://, has empty host and path, no rule, and is allowed; null html has no links.
 Repeated rows are judged each, and their links count each. Empty tables give empty results. Other columns pass through `judge`.
@@ -14,6 +15,8 @@ Repeated rows are judged each, and their links count each. Empty tables give emp
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,10 @@ from .common import ascii_lower, cut
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ROUNDS, CUT_EVERY, BLOCK_AT = 0.85, 8, 4, 0.1
+DAMPING, TOLERANCE, CUT_EVERY, BLOCK_AT = 0.85, 1e-4, 4, 0.1
+ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
+#: The change over CUT_EVERY rounds up to which scores stand still: what rounding leaves.
+STILL = 1e-13
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -70,14 +76,20 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     # Hosts that are linked but have no page of their own score too.
     ends = both.select(F.col("dst").alias("host"), "kind", F.lit(0.0).alias("weight"))
     seeds = cut(seeds.join(F.broadcast(mass), "kind").select("host", "kind", (F.col("weight") / F.col("mass")).alias("weight")).unionByName(ends).groupBy("host", "kind").agg(F.sum("weight").alias("seed")))
-    score = seeds.withColumn("score", F.col("seed"))
+    score = last = seeds.select("host", "kind", F.col("seed").alias("score"))
     if both.isEmpty():
         rounds = 0  # without an edge nothing flows: the teleport is the score
     for i in range(rounds):
         flow = score.join(both.withColumnRenamed("src", "host"), ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("flow"))
         start = seeds.select("host", "kind", (F.col("seed") * (1 - DAMPING)).alias("flow"))
         new = flow.unionByName(start).groupBy("host", "kind").agg(F.sum("flow").alias("score"))
-        score = cut(new) if (i + 1) % CUT_EVERY == 0 else new
+        score = new
+        if (i + 1) % CUT_EVERY == 0:
+            score = cut(new)
+            moved = score.unionByName(last.withColumn("score", -F.col("score"))).groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("by"))
+            if (moved.agg(F.sum("by")).first()[0] or 0.0) <= STILL:
+                break
+            last = score
     return score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,28 @@ def test_propagation_equals_plain_iteration(spark):
             assert got[n][k] == pytest.approx(score[n], abs=1e-12)
 
 
+def test_propagation_settles(spark):
+    rng = np.random.default_rng(3)
+    n = 14
+    links = {(i, i + 1): 1 for i in range(n - 1)} | {(int(a), int(b)): 2 for a, b in rng.integers(0, n, (10, 2)) if a != b}
+    hosts = spark.createDataFrame([(f"h{i}", float(i == 0), float(i == n - 1)) for i in range(n)], "host string, trusted double, blocked double")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(hosts, spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in links.items()], "src string, dst string, n long")).collect()}
+    flow = np.zeros((n, n))
+    for (a, b), w in links.items():
+        flow[b, a] = w
+    for k, (m, seed) in enumerate(((flow, 0), (flow.T, n - 1))):
+        m = m / np.maximum(m.sum(0), 1)
+        settled = np.linalg.solve(np.eye(n) - url_filter.DAMPING * m, (1 - url_filter.DAMPING) * np.eye(n)[seed])
+        assert sum(abs(got[f"h{i}"][k] - settled[i]) for i in range(n)) < url_filter.TOLERANCE
+
+
+def test_a_chain_is_blocked_near_its_blocked_end_only(spark, write):
+    chain = ["http://bad.net/", *(f"http://c{i}.io/" for i in range(1, 13))]
+    pages = [(i, u, f'<a href="{chain[i - 1]}">' if i else "", None, None) for i, u in enumerate(chain)]
+    got = {r.page_id: r.verdict for r in url_filter.op4_url_filter(spark, write(pages=pages)).collect()}
+    assert [i for i in range(1, 13) if got[i] == "block"] == [1, 2]
+
+
 def test_host_parsing_equals_a_regular_expression(spark):
     urls = ["a://b/c", "://x", "a://", "x://Y?://z", "x:/y", "http://u@H:1/p#q?r", "http://a#b", "http://a/b#c?d", "h://a\n/b"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.host_of(F.col("u")).alias("h")).collect()
