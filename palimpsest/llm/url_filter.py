@@ -3,7 +3,8 @@
 A rule is a host and a path; it fits that host and its subdomains where the url's path starts with the rule's path; the longest rule wins.
 Urls that no rule fits get their host's verdict. Trust is a personalised PageRank from hosts that allow rules name, along links; distrust is one from
 hosts that a block rule covers whole, against the direction of links (who links to a blocked host earns distrust). A host is blocked if its
-distrust is at least BLOCK_AT of the distrust that a seed's teleport brings it on average and exceeds its trust.
+distrust exceeds its trust and its exposure is at least BLOCK_AT. Distrust is split among all who link to a blocked host; exposure is not, so a farm of any number of hosts is caught: it is the
+share of the host's own personalised PageRank that ends at urls which rules block, (1 - DAMPING) * DAMPING = 0.1275 where each of its links goes to one, so 0.1 asks for 79 % of them or as much by longer ways.
 
 Links come from the pages' href values; edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row.
 Everything is DataFrame expressions; scores live in a table of hosts and are never collected. Lineage is cut every CUT_EVERY rounds. A round shrinks the distance (L1) to the
@@ -58,23 +59,30 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
     return (none, none) if rule is None else (rule, verdict)
 
 
-def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, n: links between different hosts; a link without a host of its own stays on its page's and makes no edge."""
+def host_links(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """src, dst, n, bad (how many go to urls that rules block): links between different hosts; a link without a host of its own stays on its page's and makes no edge."""
     found = F.filter(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: x.contains("//"))
     links = pages.where(F.col("html").contains("//")).select(host_of(F.col("url")).alias("src"), F.explode(found).alias("to"))
-    links = links.select("src", host_of(F.regexp_replace("to", "^//", "x://")).alias("dst"))
-    return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    to = F.regexp_replace("to", "^//", "x://")
+    links = links.select("src", host_of(to).alias("dst"), path_of(to).alias("path")).where("src <> '' and dst <> '' and src <> dst")
+    _, verdict = rule_for(F.col("dst"), F.col("path"), rules)
+    return links.withColumn("bad", F.coalesce((verdict == "block").cast("long"), F.lit(0))).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust from hosts (host, trusted, blocked: the teleport's weights) and edges (src, dst, n)."""
-    both = edges.select("src", "dst", "n", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("kind")))
+    """host, trust, distrust, exposure from hosts (host, trusted, blocked: the teleport's weights) and edges (src, dst, n, and bad where it is known)."""
+    edges = edges if "bad" in edges.columns else edges.withColumn("bad", F.lit(0))
+    both = edges.select("src", "dst", "n", "bad", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", "bad", F.lit("distrust").alias("kind")))
     total = both.groupBy("src", "kind").agg(F.sum("n").alias("out"))
-    both = cut(both.join(total, ["src", "kind"]).select("src", "dst", "kind", (F.col("n") / F.col("out")).alias("share")))
+    both = both.join(total, ["src", "kind"]).withColumn("share", F.col("n") / F.col("out"))
+    # Exposure flows against the links too, but by their share of their source's links: links to blocked urls are where it starts, the others carry it on.
+    back = both.where("kind = 'trust'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("exposure").alias("kind"), ((F.col("n") - F.col("bad")) / F.col("out")).alias("share"), (F.col("bad") / F.col("out")).alias("bad"))
+    both = cut(both.select("src", "dst", "kind", "share", F.lit(0.0).alias("bad")).unionByName(back))
     seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted"), F.lit("distrust"), F.col("blocked"))).alias("kind", "weight"))
     mass = seeds.groupBy("kind").agg(F.greatest(F.sum("weight"), F.lit(1e-300)).alias("mass"))
     # Hosts that are linked but have no page of their own score too.
-    ends = both.select(F.col("dst").alias("host"), "kind", F.lit(0.0).alias("weight"))
+    ends = both.select(F.col("dst").alias("host"), "kind", (F.col("bad") * DAMPING).alias("weight"))
+    both = both.drop("bad")
     seeds = cut(seeds.join(F.broadcast(mass), "kind").select("host", "kind", (F.col("weight") / F.col("mass")).alias("weight")).unionByName(ends).groupBy("host", "kind").agg(F.sum("weight").alias("seed")))
     score = last = seeds.select("host", "kind", F.col("seed").alias("score"))
     if both.isEmpty():
@@ -90,7 +98,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
             if (moved.agg(F.sum("by")).first()[0] or 0.0) <= STILL:
                 break
             last = score
-    return score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
+    return score.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust", "exposure")])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -105,9 +113,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     allowed = (F.col("ruled") == "allow").cast("double")
     hosts = parsed.where("host <> ''").groupBy("host").agg(F.sum(F.coalesce(allowed, F.lit(0.0))).alias("trusted")).withColumn("blocked", F.when(covered & (F.col("trusted") == 0), 1.0).otherwise(0.0))
     hosts = cut(hosts)
-    scores = propagate(hosts, host_links(pages))
-    seeds = float(hosts.agg(F.sum("blocked")).first()[0] or 0) or 1.0
-    bad = scores.where((F.col("distrust") * seeds >= BLOCK_AT) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged"))
+    scores = propagate(hosts, host_links(pages, rules))
+    bad = scores.where((F.col("exposure") >= BLOCK_AT) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged"))
     out = parsed.join(bad, "host", "left")
     return out.withColumn("verdict", F.coalesce("ruled", "judged", F.lit("allow"))).drop("ruled", "judged")
 

@@ -116,6 +116,14 @@ def test_a_chain_is_blocked_near_its_blocked_end_only(spark, write):
     assert [i for i in range(1, 13) if got[i] == "block"] == [1, 2]
 
 
+@pytest.mark.parametrize("n", [1, 2, 100])
+def test_all_of_a_link_farm_are_blocked(spark, write, n):
+    farm = [(i, f"http://farm{i}.io/", '<a href="http://bad.net/">', None, None) for i in range(n)]
+    other = [(1000, "http://bad.net/", "", None, None), (1001, "http://news.io/", '<a href="http://bad.net/">' + "".join(f'<a href="http://fine{i}.io/">' for i in range(9)), None, None)]
+    got = {r.page_id: r.verdict for r in url_filter.op4_url_filter(spark, write(pages=farm + other)).collect()}
+    assert [got[i] for i in range(n)] == ["block"] * n and got[1001] == "allow"
+
+
 def test_host_parsing_equals_a_regular_expression(spark):
     urls = ["a://b/c", "://x", "a://", "x://Y?://z", "x:/y", "http://u@H:1/p#q?r", "http://a#b", "http://a/b#c?d", "h://a\n/b"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.host_of(F.col("u")).alias("h")).collect()
