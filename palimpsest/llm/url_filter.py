@@ -1,10 +1,10 @@
 """URL filter: rules first, then trust and distrust that flow over the links between hosts.
 
 A rule is a host and a path; it fits that host and its subdomains where the url's path starts with the rule's path; the longest rule wins.
-Urls that no rule fits get their host's verdict. Trust is a personalised PageRank from hosts that allow rules name, along links; distrust is one from
-hosts that a block rule covers whole, against the direction of links (who links to a blocked host earns distrust). A host is blocked if its
+Urls that no rule fits get their host's verdict. Trust is a personalised PageRank from hosts by their allowed pages, along links; distrust is one from
+hosts by their blocked pages, against the direction of links (who links to a blocked host earns distrust). A host with both kinds of pages seeds both, and the comparison decides. A host is blocked if its
 distrust exceeds its trust and its exposure is at least BLOCK_AT. Distrust is split among all who link to a blocked host; exposure is not, so a farm of any number of hosts is caught: it is the
-share of the host's own personalised PageRank that ends at urls which rules block, (1 - DAMPING) * DAMPING = 0.1275 where each of its links goes to one, so 0.1 asks for 79 % of them or as much by longer ways.
+share of the host's own personalised PageRank that ends at urls which rules block, (1 - DAMPING) * DAMPING = 0.1275 where each of its links goes to one, so 0.1 asks for 79 % of them or as much by longer ways. Blocked pages of its own are no exposure: a rule about a path says nothing about the host's other paths.
 
 Links come from the pages' href values; edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row.
 Everything is DataFrame expressions; scores live in a table of hosts and are never collected. Lineage is cut every CUT_EVERY rounds. A round shrinks the distance (L1) to the
@@ -106,12 +106,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     parsed = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict})
-    whole = [h for kind, h, p in rules if kind == "block" and p == "/"]
-    covered = F.lit(False)
-    for h in whole:
-        covered = covered | _fits(F.col("host"), h)
-    allowed = (F.col("ruled") == "allow").cast("double")
-    hosts = parsed.where("host <> ''").groupBy("host").agg(F.sum(F.coalesce(allowed, F.lit(0.0))).alias("trusted")).withColumn("blocked", F.when(covered & (F.col("trusted") == 0), 1.0).otherwise(0.0))
+    pages_of = lambda kind: F.sum(F.coalesce((F.col("ruled") == kind).cast("double"), F.lit(0.0)))
+    hosts = parsed.where("host <> ''").groupBy("host").agg(pages_of("allow").alias("trusted"), pages_of("block").alias("blocked"))
     hosts = cut(hosts)
     scores = propagate(hosts, host_links(pages, rules))
     bad = scores.where((F.col("exposure") >= BLOCK_AT) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged"))

@@ -124,6 +124,13 @@ def test_all_of_a_link_farm_are_blocked(spark, write, n):
     assert [got[i] for i in range(n)] == ["block"] * n and got[1001] == "allow"
 
 
+def test_blocked_pages_of_any_host_seed_distrust(spark, write):
+    to_bad, to_fine = '<a href="http://www.example.com/de/2">', '<a href="http://www.example.com/fr/2">'
+    pages = [(0, "http://www.example.com/de/1", ""), (1, "http://www.example.com/fr/1", ""), (2, "http://linker.io/", to_bad), (3, "http://reader.io/", to_fine), (4, "http://mixed.example.net/en/1", ""), (5, "http://mixed.example.net/de/1", ""), (6, "http://buyer.io/", '<a href="http://mixed.example.net/de/2">')]
+    got = {r.page_id: r.verdict for r in url_filter.op4_url_filter(spark, write(pages=[(*p, None, None) for p in pages])).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block"}
+
+
 def test_host_parsing_equals_a_regular_expression(spark):
     urls = ["a://b/c", "://x", "a://", "x://Y?://z", "x:/y", "http://u@H:1/p#q?r", "http://a#b", "http://a/b#c?d", "h://a\n/b"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.host_of(F.col("u")).alias("h")).collect()
