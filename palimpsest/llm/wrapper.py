@@ -2,7 +2,7 @@
 
 A host's wrapper is a tree of template nodes. A page's tree is made small first: neighbours with the same tag and class are merged into one iterated node. Trees are then
 aligned by simple tree matching (the most nodes matched in order under matched parents) and merged: matched nodes count the pages they were seen in, others are added as optional. A
-text slot whose text is the same on every page (FEW pages or more) is constant, and so template; slots that vary are content. Wrappers are merged within tasks
+text slot that shows the same text on nearly all pages its node is on (NEARLY of FEW pages or more) and no other is constant, and so template; slots that vary are content. Wrappers are merged within tasks
 first, so a host with a third of all pages sends one small tree a task; the merge is repeated in two levels by host.
 
 From a page, extraction takes the varying slots below the wrapper's content nodes: an article or main element if the host has one, else the body. Parts whose role
@@ -15,6 +15,7 @@ Broken markup (unclosed or stray tags, text cut inside a tag) is read as far as
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -27,6 +28,8 @@ from .url_filter import host_of
 
 #: Pages from which on a slot's text can be called constant; wrappers' bytes up to which they are broadcast.
 FEW, BROADCAST = 8, 16 << 20
+#: The share of its node's pages that a constant text is on at least; texts of more characters are compared by hash.
+NEARLY, LONG = 0.9, 200
 #: Elements below this depth are read as children of the node at this depth.
 DEEP = 150
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[A-Za-z])[^>]*\Z", re.S | re.I)
@@ -95,7 +98,7 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper node is [key, pages, slot, kids]: key is tag and class without digits; slot is None (no text), a text (constant so far) or True (varying).
+# A wrapper node is [key, pages, slot, kids]: key is tag and class without digits; slot is None (no text), [text or its hash, pages that showed it] (constant so far) or True (varying).
 
 
 def _key(node: Node) -> str:
@@ -115,8 +118,7 @@ def small_tree(node: Node) -> list:
                 kids[-1] = merge(kids[-1], tree, False)  # an iterated node
             else:
                 kids.append(tree)
-    slot = _clean(" ".join(texts)) if texts else None
-    return [_key(node), 1, slot if slot is None or len(slot) <= 200 else True, kids]
+    return [_key(node), 1, [_held(" ".join(texts)), 1] if texts else None, kids]
 
 
 def match(a: list, b: list) -> int:
@@ -135,7 +137,12 @@ def match(a: list, b: list) -> int:
 
 def merge(a: list, b: list, pages: bool = True) -> list:
     """The wrapper of both; a and b have equal keys. pages: their pages add up (else they are parts of one page)."""
-    slot = b[2] if a[2] is None else a[2] if b[2] is None or a[2] == b[2] else True
+    if a[2] is None or b[2] is None:
+        slot = b[2] if a[2] is None else a[2]
+    elif True in (a[2], b[2]) or a[2][0] != b[2][0]:
+        slot = True
+    else:
+        slot = [a[2][0], a[2][1] + b[2][1] if pages else a[2][1]]
     n, m = len(a[3]), len(b[3])
     if [x[0] for x in a[3]] == [y[0] for y in b[3]]:
         return [a[0], a[1] + b[1] if pages else a[1], slot, [merge(x, y, pages) for x, y in zip(a[3], b[3], strict=True)]]
@@ -162,6 +169,12 @@ def _clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+def _held(text: str) -> str:
+    """A text as wrappers hold it."""
+    text = _clean(text)
+    return text if len(text) <= LONG else "#" + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
 def shape(tree: list) -> tuple:
     return (tree[0], tree[2] is None, tuple(map(shape, tree[3])))
 
@@ -171,11 +184,11 @@ def _has_main(tree: list) -> bool:
 
 
 def constants(tree: list, path: str = "", out: set | None = None) -> set:
-    """(path, text) of constant slots."""
+    """(path, text or its hash) of constant slots."""
     out = set() if out is None else out
     path = f"{path}/{tree[0]}"
-    if isinstance(tree[2], str) and tree[1] >= FEW:
-        out.add((path, tree[2]))
+    if isinstance(tree[2], list) and tree[1] >= FEW and tree[2][1] >= NEARLY * tree[1]:
+        out.add((path, tree[2][0]))
     for kid in tree[3]:
         constants(kid, path, out)
     return out
@@ -204,7 +217,7 @@ def text_of(root: Node, wrapper: list | None) -> str:
         if block:
             flush()
         own = [k for k in node.kids if isinstance(k, str) and k.strip()]
-        constant = not inside and own and (path, _clean(" ".join(own))) in fixed
+        constant = not inside and own and (path, _held(" ".join(own))) in fixed
         for kid in node.kids:
             if isinstance(kid, str):
                 if not constant and (inside or not only_main):

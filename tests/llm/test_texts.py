@@ -130,6 +130,17 @@ def test_constant_slots_are_template():
     assert wrapper.text_of(wrapper.parse("<body><div class=top>Welcome to the site</div><div class=x><p>text 3</p></div></body>"), whole) == "text 3"
 
 
+def test_constant_text_is_on_nearly_all_pages_of_its_node():
+    notice = "All rights are reserved by the owner of this site. " * 6
+    page = lambda i, stray="": wrapper.parse(f"<body><div class=post>{stray}<p>text {i}</p></div><div class=legal>{notice}</div></body>")
+    for n in (8, 40):
+        whole = wrapper.small_tree(page(0, "A stray sentence."))
+        for i in range(1, n):
+            whole = wrapper.merge(whole, wrapper.small_tree(page(i)))
+        assert wrapper.text_of(page(0, "A stray sentence."), whole) == "A stray sentence.\ntext 0"
+        assert wrapper.text_of(page(3), whole) == "text 3"
+
+
 def test_tree_matching_counts_common_nodes():
     a, b = (wrapper.small_tree(wrapper.parse(x)) for x in ("<div><h1>x</h1><p>a</p><ul><li>1</li></ul></div>", "<div><p>b</p><table></table><ul><li>2</li></ul></div>"))
     assert wrapper.match(a, b) == 5  # root, div, p, ul, li
