@@ -41,6 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Deletes tables that cut() made and nothing reads any more, and lets Spark drop the shuffles of what is out of reach."""
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers are reused by later stages and stand beside the executor's heap."""
     import ctypes

@@ -157,6 +157,27 @@ def test_forward_and_backward_equal_plain_recursions(seed):
     assert np.allclose(hmm.forward(shares, end, ids, n, chain), want)
 
 
+def test_expectations_do_not_depend_on_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    k, v = hmm.STATES, 9
+    go, start = rng.random((k, k)), rng.random(k)
+    chain = hmm.Chain(start / start.sum(), go / go.sum(1, keepdims=True), np.full(k, 1 / k), rng.random(k), np.ones(k))
+    shares, n = rng.random((v, k)), np.array([40, 0, 3, 4, 11, 25, 7])
+    ids = rng.integers(0, v, n.sum())
+    out, sums = hmm.expect(shares, ids, n, chain)
+    monkeypatch.setattr(hmm, "SEGMENT", 4)
+    parts, part_sums = hmm.expect(shares, ids, n, chain)
+    assert np.allclose(out, parts) and np.allclose(sums, part_sums) and sums[: k * k].sum() == pytest.approx(n.sum())
+    assert hmm.expect_all(shares, ids, n, chain)[2] == pytest.approx(hmm.forward(shares, chain.end, ids, n, chain).sum())
+
+
+def test_training_goes_on_until_it_has_settled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    total = lambda rounds: hmm.score(docs, rounds=rounds).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
+    two, settled, more = total(2), total(hmm.ROUNDS), total(12)
+    assert settled > two + hmm.GAIN and more - settled < 2 * hmm.GAIN
+
+
 def test_language_model(spark, write):
     docs = [(i, t) for i, t in SMALL] + passages(5)
     docs = list({i: (i, t) for i, t in docs}.values())
