@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontamination, near_dedup, pii, quality
-from palimpsest.llm.common import cut, ship
+from palimpsest.llm.common import ascii_lower, cut, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; rows without doc_id cannot be told apart and stay."""
+    """Keeps one document of each group of near-duplicates, and one row of those with equal doc_id and words (in lower case).
+
+    Rows without doc_id are compared by their words alone: they go where a row with doc_id has the same, else one of them stays.
+    """
     ship(spark)
     gone = cut(near_dedup.components(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    words = F.sha2(ascii_lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))), 256)
+    seen = docs.select("doc_id", words.alias("_words")).groupBy("doc_id", "_words").agg(F.count("*").alias("n"))
+    if seen.where("n > 1 or doc_id is null").isEmpty():
+        return rest
+    once = rest.withColumn("_words", words).dropDuplicates(["doc_id", "_words"])
+    nameless = once.where("doc_id is null").join(seen.where("doc_id is not null").select("_words").distinct(), "_words", "left_anti")
+    return once.where("doc_id is not null").select(*docs.columns).unionByName(nameless.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,3 +231,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark, write):
         assert out.columns == docs.columns, name
         assert out.count() <= len(SMALL)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == len(SMALL)
+
+
+def test_repeated_rows_leave_one(spark, write):
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcd"}
+    rows = [(1, texts["a"])] * 3 + [(2, texts["b"]), (3, texts["b"])] + [(None, texts["c"])] * 4 + [(None, texts["a"]), (4, texts["d"]), (4, texts["d"].upper())]
+    docs = spark.read.parquet(write(documents=rows) + "/documents.parquet")
+    out = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(out, key=lambda r: r[1]) == [(1, texts["a"]), (2, texts["b"]), (None, texts["c"]), (4, texts["d"])]
