@@ -171,13 +171,26 @@ def test_expectations_do_not_depend_on_segments(monkeypatch):
     assert hmm.expect_all(shares, ids, n, chain)[2] == pytest.approx(hmm.forward(shares, chain.end, ids, n, chain).sum())
 
 
-def test_training_goes_on_until_it_has_settled(spark):
+def test_training_goes_on_until_it_has_settled(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_ROWS", 0)  # from drawn shares: a trained start is near the end already
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     total = lambda rounds: hmm.score(docs, rounds=rounds).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
     two, settled, more = total(2), total(hmm.ROUNDS), total(12)
     assert settled > two + hmm.GAIN and more - settled < 2 * hmm.GAIN
 
 
+def test_a_trained_start_only_saves_rounds(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    total = lambda: hmm.score(docs).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
+    few = hmm.start_texts(docs, "text", "doc_id")
+    assert len(set(few)) == len(few) > 100 and max(map(len, few)) <= hmm.START_BYTES
+    known = total()
+    monkeypatch.setattr(hmm, "START_ROWS", 40)
+    assert abs(total() - known) < 0.2 and len(hmm.start_texts(docs, "text", "doc_id")) <= 40
+    start = hmm.Start([])
+    assert (start.of([b"word", b"x"]) == hmm.first_shares([b"word", b"x"])).all()
+
+
 def test_language_model(spark, write):
     docs = [(i, t) for i, t in SMALL] + passages(5)
     docs = list({i: (i, t) for i, t in docs}.values())
