@@ -183,7 +183,7 @@ def test_a_trained_start_only_saves_rounds(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     total = lambda: hmm.score(docs).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
     few = hmm.start_texts(docs, "text", "doc_id")
-    assert len(set(few)) == len(few) > 100 and max(map(len, few)) <= hmm.START_BYTES
+    assert 100 < len(few) <= 200 and max(map(len, few)) <= hmm.START_BYTES
     known = total()
     monkeypatch.setattr(hmm, "START_ROWS", 40)
     assert abs(total() - known) < 0.2 and len(hmm.start_texts(docs, "text", "doc_id")) <= 40

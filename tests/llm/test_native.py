@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import pii, sharding, url_filter
 
-from .brute import base_spans
+from .brute import added_spans, base_spans, named, redacted
 from .conftest import ODD
 
 TEXTS = [
@@ -26,12 +26,16 @@ def run(spark, d):
 
 def test_spans_equal_brute_force(spark, write):
     rng = random.Random(5)
-    noise = ["".join(rng.choice(" .@+-()0123456789ab\n%é") for _ in range(rng.randrange(80))) for _ in range(300)]
+    cells = ["IBAN ", "iban", " GB82 WEST 1234 5698 7654 32", "XX82 WEST 1234 5698 7654 32 ", "DE89370400440532013000", "FR1420041010050500013M02606 ", " ssn ", "123-45-6789", " 987-65-4321 ", "social security", " é", " 😀 ", "x" * 30, "a@b.io", " my bank ", "1.2.3.4"]
+    made = ["".join(rng.choice(cells) for _ in range(rng.randrange(12))) for _ in range(300)]
+    made += [m.replace("XX82", x) for m in made[:40] for x in ("XX45", "XK51")]
+    noise = made + ["".join(rng.choice(" .@+-()0123456789ab\n%é") for _ in range(rng.randrange(80))) for _ in range(300)]
     docs = [(100 + i, t) for i, t in enumerate([*TEXTS, *noise])] + ODD
     got = run(spark, write(documents=docs))
     assert len(got) == len(docs)
     for i, t in docs:
-        want = base_spans(t or "")
+        want = named(base_spans(t or ""))
+        assert got[i].spans == named(sorted(base_spans(t or "") + added_spans(t or ""))), t
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (t, got[i].spans, want)
         assert got[i].n_email == want.count("email") and got[i].n_phone == want.count("phone") and got[i].n_ip == want.count("ip:") and got[i].n_card == want.count("card")
 
@@ -47,6 +51,16 @@ def test_redact(spark, write):
     assert out.columns == df.columns and {r.doc_id: r.text for r in out.collect()} == {1: "[EMAIL] and [IP]!", 2: None, 3: "😀 [EMAIL]", 4: "clean"}
 
 
+def test_redaction_equals_brute_force_at_any_length(spark, write):
+    rng = random.Random(9)
+    cells = ["a@b.io", " 1.2.3.4", "😀é ", "4111 1111 1111 1111", "+1 (578) 555-6437", " ssn 123-45-6789", "\n", "plain words ", "x" * 700]
+    docs = [(i, "".join(rng.choice(cells) for _ in range(rng.randrange(60)))) for i in range(60)] + [(100, " é ".join(f"u{i}@x.org" for i in range(20_000)))]
+    out = pii.redact(spark.read.parquet(write(documents=docs) + "/documents.parquet"))
+    got = {r.doc_id: (r.text, r.pii) for r in out.collect()}
+    for i, t in docs:
+        assert got[i] == (redacted(t, sorted(base_spans(t) + added_spans(t))), "x")
+
+
 def test_shards_are_even_and_gapless(spark, write):
     rng = random.Random(3)
     docs = [(i, "copy" * 50 if rng.random() < 0.4 else "".join(rng.choice("ab ") for _ in range(rng.randrange(400)))) for i in range(3000)] + [(i, t) for i, t in ODD if t is None or len(t) < 100] + [(7, "same text as another one here")]
