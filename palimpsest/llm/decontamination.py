@@ -8,18 +8,21 @@ are verified by an alignment within the band's diagonals.
 
 The benchmark is read in blocks of bounded size; each block's index is what a task holds of it, and the documents stream past.
 An item too short for this (fewer than q characters) must occur verbatim; an empty or null item matches nothing. A null or empty text has no leaks.
-Equal items are each reported; repeated documents give repeated rows. Other columns pass through `find_leaks`.
+Equal items are each reported; repeated documents give repeated rows. An item that is in a text several times is reported once, at its first verbatim place, else where it has the fewest edits (of equals, the band that
+starts first). Other columns pass through `find_leaks`.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, cut
 
 #: q, the edits a character of an item, the hits that a band needs, the benchmark's bytes per block.
 Q, EDITS, SURVIVORS, BLOCK = 8, 0.06, 20, 4 << 20
@@ -178,24 +181,41 @@ def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK):
         yield rows
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `leaks`, an array of (item_id, start, edits), a null or empty array for none."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs with `leaks`, an array of (item_id, start, edits), a null or empty array for none.
+
+    One block is looked for as the documents stream past. With more blocks, rows get a number first and each block's finds are a small table by that number, so a task never has more than one worker and one index.
+    """
     import pyarrow as pa
 
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
-    spark, out = docs.sparkSession, None
-    for rows in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rows)  # of BLOCK bytes
+    field = "array<struct<item_id: bigint, start: bigint, edits: bigint>>"
+    docs = docs.drop("leaks")
+
+    def search(df: DataFrame, rows: list) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(rows)  # of BLOCK bytes
 
-        def make(texts, old=None, shared=shared, held=[]):  # noqa: B006  the index is built once a task
+        def make(texts, held=[]):  # noqa: B006  the index is built once a task
             if not held:
                 held.append(Index(shared.value))
             found = leaks_in([b.decode("utf-8", "replace") for b in texts.to_pylist()], held[0])
-            before = [x or [] for x in old.to_pylist()] if old is not None else [[]] * len(found)
-            return [pa.array([b + [{"item_id": i, "start": s, "edits": e} for i, s, e in f] for b, f in zip(before, found, strict=True)], kind)]
-
-        out = add_columns(docs if out is None else out, "leaks array<struct<item_id: bigint, start: bigint, edits: bigint>>", make, text, () if out is None else ("leaks",), piece=1 << 20)
-    return docs.withColumn("leaks", F.expr("cast(array() as array<struct<item_id: bigint, start: bigint, edits: bigint>>)")) if out is None else out
+            return [pa.array([[{"item_id": i, "start": s, "edits": e} for i, s, e in f] for f in found], kind)]
+
+        return add_columns(df, f"leaks {field}", make, text, piece=1 << 20)
+
+    blocks = benchmark_blocks(benchmark, block)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.withColumn("leaks", F.expr(f"cast(array() as {field})"))
+    if second is None:
+        return search(docs, first)
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+    texts, found = numbered.select("_row", F.col(f"_doc.`{text}`").alias(text)), []
+    for rows in itertools.chain([first, second], blocks):
+        hits = cut(search(texts, rows).where(F.size("leaks") > 0).select("_row", "leaks"))
+        found.append(hits)
+    every = reduce(DataFrame.unionByName, found).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))  # a row has as many as items are in its text
+    return numbered.join(every, "_row", "left").select("_doc.*", "leaks")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

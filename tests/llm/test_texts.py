@@ -46,6 +46,8 @@ def test_leaks_in_spark(spark, write):
     assert len(list(dec.benchmark_blocks(bench, 10))) == 2
     found = dec.find_leaks(df, bench)
     assert set(found.columns) == set(df.columns) and found.count() == len(docs)
+    rows = lambda x: sorted((r.doc_id is None, r.doc_id, r.text or "", r.kept, [tuple(y) for y in r.leaks or []]) for r in x.collect())
+    assert rows(dec.find_leaks(df, bench, block=10)) == rows(found)
 
 
 def test_quality_equals_brute_force(spark, write):
