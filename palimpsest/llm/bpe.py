@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import by_bucket, cut_blocks, name_of, pack, pack_words, unpack, unpack_words
-from .common import add_columns, buckets_for, over_batches, over_group, text_bytes
+from .common import add_columns, buckets_for, over_batches, over_group, steady, text_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of distinct words that a bucket holds on average, if a quarter of a block's text is distinct words.
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, ke
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructType
 
-    docs = docs.drop("token_ids", *["decoded"] * decoded)
+    docs = steady(docs.drop("token_ids", *["decoded"] * decoded))  # read twice: for its words and for its numbers
     buckets = buckets_for(text_bytes(docs, text) // 4, BUCKET)
     text_at = docs.columns.index(text)
     moving, names = "block bigint, bucket int, payload binary", ["block", "bucket", "payload"]

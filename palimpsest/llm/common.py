@@ -19,9 +19,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a folder of our own; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -41,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plans whose rows keep their order and partitions however often they are evaluated.
+_STEADY = {"LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "Project", "Filter"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, or a table of it if another evaluation (a second use, a lost executor) might deal its rows in another order, as after a shuffle."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in _STEADY and not node.nodeName().startswith("Scan"):
+            return cut(df)
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return df
+
+
 def discard(spark: SparkSession, tables: list[DataFrame]) -> None:
     """Deletes tables that cut() made and nothing reads any more, and lets Spark drop the shuffles of what is out of reach."""
     import gc

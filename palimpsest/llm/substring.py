@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import cut_blocks, name_of, pack, unpack
-from .common import cut, over_batches, over_group, text_bytes
+from .common import cut, over_batches, over_group, steady, text_bytes
 
 WINDOW, ANCHOR = 13, 7
 #: Hashes in a bucket on average; bits of a probe's hash beyond the logarithm of all windows; bytes of text a word, at least.
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StringType, StructType
 
-    docs = docs.drop("kept_text", "n_words", "n_removed")
+    docs = steady(docs.drop("kept_text", "n_words", "n_removed"))  # read twice: for its probes and for its texts
     most = max(1, text_bytes(docs, text) // WORD_BYTES)
     bits = min(63, math.ceil(math.log2(most + 1)) + SPARE_BITS)
     buckets = max(16, -(-most // BUCKET))
@@ -192,15 +192,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def answered(table: pa.Table, kind: int, hit: np.ndarray, sizes: list[int]) -> pa.Table:
         ends = np.cumsum(sizes)
-        out = [(b, kind, k, pack(np.packbits(own))) for b, k, own in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(hit, ends[:-1]), strict=True) if own.any()]
+        out = [(b, kind, k, pack(np.packbits(own))) for b, k, own in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(hit, ends[:-1]), strict=True)]
         return pa.Table.from_batches([rows(out)])
 
     def bits_of(table: pa.Table, kind: int, edges: np.ndarray) -> np.ndarray:
-        out = np.zeros(int(edges[-1]), bool)
+        out, missing = np.zeros(int(edges[-1]), bool), set(np.flatnonzero(np.diff(edges)).tolist())
         for which, k, payload in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if which == kind:
                 n = int(edges[k + 1] - edges[k])
                 out[edges[k] : edges[k + 1]] = np.unpackbits(unpack(payload)[0].astype(np.uint8), count=n).astype(bool)
+                missing.discard(k)
+        if missing:
+            raise RuntimeError("a block was read with its rows in another order")  # no answer is not an answer of no
         return out
 
     def batches_of(table: pa.Table) -> list:
