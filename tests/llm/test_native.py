@@ -73,11 +73,27 @@ def test_shards_are_even_and_gapless(spark, write):
     sizes, largest = [sum(r.size for r in own) for own in by.values()], max(r.size for r in rows)
     assert max(sizes) - min(sizes) <= 2 * largest
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    # A plain version places each row by the middle of its bytes on the line of (key, doc_id).
+    line = 0
+    for r in sorted(rows, key=lambda r: (r.shard, r.slot)):
+        assert r.shard == min(23, (line + r.size // 2) * 24 // sum(sizes))
+        line += r.size
     assert sharding.op7_sharding(spark, write(documents=[])).count() == 0
     one = sharding.op7_sharding(spark, write(documents=[(1, "x")])).collect()
     assert len(one) == 1 and one[0].slot == 0
 
 
+def test_rows_that_repeat_whole_are_split_too(spark, write):
+    docs = [(7, "one row, many times")] * 900 + [(i, f"text {i}") for i in range(100, 900)]
+    frame = spark.read.parquet(write(documents=docs) + "/documents.parquet")
+    rows = sharding.assign_shards(frame.select("doc_id", "text", "_size", "shard", "lang"), keep_text=True).collect()
+    assert len(rows) == len(docs) and len({(r.shard, r.slot) for r in rows}) == len(rows) and {r.lang for r in rows} == {"en"}
+    by = {}
+    for r in rows:
+        by[r.shard] = by.get(r.shard, 0) + len(r.text.encode()) + 8
+    assert max(by.values()) - min(by.values()) <= 2 * 27 and len({r.shard for r in rows if r.doc_id == 7}) > 5
+
+
 def test_urls(spark, write):
     pages = [(1, "http://a.net/x?q", '<a href="http://good.example.org/fr/1">'), (2, "https://link.com/", "<a href=\"http://a.net/y\"><A HREF='//b.net/z'>"), (3, "HTTP://X.Example.NET/en/1?q#f", '<a href="https://friend.io/">'), (4, None, None), (5, "nope", ""), (6, "http://friend.io", "<a href=https://friend2.io>"), (7, "http://h.org#x/fr/", ""), (8, "http://x.org/fr/", ""), (9, "http://ÄB.example.com:80/de/", ""), (10, "http://notexample.com/de/", ""), (11, "http://a.net", "")]
     pages = [(*p, "clash", 1) for p in pages] + [(2, pages[1][1], pages[1][2], "clash", 1)]
