@@ -1,16 +1,18 @@
 """HTML extraction by wrapper induction.
 
 A host's wrapper is a tree of template nodes. A page's tree is made small first: neighbours with the same tag and class are merged into one iterated node. Trees are then
-aligned by simple tree matching (the most nodes matched in order under matched parents) and merged: matched nodes count the pages they were seen in, others are added as optional. A
-text slot that shows the same text on nearly all pages its node is on (NEARLY of FEW pages or more) and no other is constant, and so template; slots that vary are content. Wrappers are merged within tasks
-first, so a host with a third of all pages sends one small tree a task; the merge is repeated in two levels by host.
+aligned by simple tree matching (the most nodes matched in order under matched parents; of equal matchings the one that takes the left tree's nodes first) and merged: matched nodes count the pages they were seen in, others
+are added as optional. Wrappers are merged within tasks first, then FAN at a time by host, so a host with a third of all pages is one small tree a task.
 
-From a page, extraction takes the varying slots below the wrapper's content nodes: an article or main element if the host has one, else the body. Parts whose role
-says that they are not the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out by tag, role or class.
-Inside an article constant text stays: it is part of what the page says.
+The aligned wrapper says what is template. A text slot that shows the same text on nearly all pages its node is on (NEARLY of them, and FEW pages of different content at least: copies of a page prove nothing) is constant, and
+so template, wherever it stands; slots that vary are content. A block outside the article nearly all of whose text, over all pages of the host, is in links (LINKED) is navigation, and template too.
+Tags and class words decide only what alignment cannot see, parts that vary from page to page and are not the article: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; and where a page has an
+article or main element, the rest of it is left out.
+
+What extraction needs of a wrapper is a plan: hashes of its template slots and blocks, some bytes a slot. Plans are joined to pages by host; the wrappers themselves stay behind.
 
 Nulls: null or empty html gives an empty text; a null url counts as the host "". Repeated rows weigh in the wrapper as often as they occur, and each gets the same text.
-Broken markup (unclosed or stray tags, text cut inside a tag) is read as far as it goes. Other columns pass through `extract`.
+Broken markup (unclosed or stray tags, text cut inside a tag) is read as far as it goes; elements below the depth DEEP are read as children of the node there, as browsers do from 512 on, and their text stays. Other columns pass through `extract`.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns, cut, over_batches, over_group
 from .url_filter import host_of
 
-#: Pages from which on a slot's text can be called constant; wrappers' bytes up to which they are broadcast.
-FEW, BROADCAST = 8, 16 << 20
-#: The share of its node's pages that a constant text is on at least; texts of more characters are compared by hash.
-NEARLY, LONG = 0.9, 200
-#: Elements below this depth are read as children of the node at this depth.
-DEEP = 150
+#: Pages of different content from which on a slot's text can be called constant; plans' bytes up to which they are broadcast; trees that are merged at once.
+FEW, BROADCAST, FAN = 4, 16 << 20, 64
+#: The share of its node's pages that a constant text is on at least; the share of a block's text in links that makes it navigation; texts of more characters are compared by hash.
+NEARLY, LINKED, LONG = 0.9, 0.8, 200
+#: The depth of trees.
+DEEP = 1000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[A-Za-z])[^>]*\Z", re.S | re.I)
 ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,27 +102,34 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper node is [key, pages, slot, kids]: key is tag and class without digits; slot is None (no text), [text or its hash, pages that showed it] (constant so far) or True (varying).
+# A wrapper node is [key, pages, slot, kids, chars, linked]: key is tag and class without digits; slot is None (no text), [text or its hash, pages that showed it, the FEW least hashes of those pages' texts]
+# (constant so far) or True (varying); chars and linked count the characters of its own text and of those in links, over all pages.
 
 
 def _key(node: Node) -> str:
     return node.tag + ("." + re.sub(r"\d+", "", node.name) if node.name else "")
 
 
-def small_tree(node: Node) -> list:
+def page_tree(html: str) -> list:
     """The wrapper of a page alone."""
-    kids, texts = [], []
+    return small_tree(parse(html), xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")))
+
+
+def small_tree(node: Node, page: int = 0, link: bool = False) -> list:
+    """The wrapper of a part of a page; page: a hash of the page's content."""
+    kids, texts, link = [], [], link or node.tag == "a"
     for kid in node.kids:
         if isinstance(kid, str):
             if kid.strip():
                 texts.append(kid)
         else:
-            tree = small_tree(kid)
+            tree = small_tree(kid, page, link)
             if kids and kids[-1][0] == tree[0]:
                 kids[-1] = merge(kids[-1], tree, False)  # an iterated node
             else:
                 kids.append(tree)
-    return [_key(node), 1, [_held(" ".join(texts)), 1] if texts else None, kids]
+    chars = sum(len(t.strip()) for t in texts)
+    return [_key(node), 1, [_held(" ".join(texts)), 1, [page]] if texts else None, kids, chars, chars if link else 0]
 
 
 def match(a: list, b: list) -> int:
@@ -142,10 +153,11 @@ def merge(a: list, b: list, pages: bool = True) -> list:
     elif True in (a[2], b[2]) or a[2][0] != b[2][0]:
         slot = True
     else:
-        slot = [a[2][0], a[2][1] + b[2][1] if pages else a[2][1]]
+        slot = [a[2][0], a[2][1] + b[2][1] if pages else a[2][1], sorted({*a[2][2], *b[2][2]})[:FEW]]
+    both = [a[4] + b[4], a[5] + b[5]]
     n, m = len(a[3]), len(b[3])
     if [x[0] for x in a[3]] == [y[0] for y in b[3]]:
-        return [a[0], a[1] + b[1] if pages else a[1], slot, [merge(x, y, pages) for x, y in zip(a[3], b[3], strict=True)]]
+        return [a[0], a[1] + b[1] if pages else a[1], slot, [merge(x, y, pages) for x, y in zip(a[3], b[3], strict=True)], *both]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -162,7 +174,7 @@ def merge(a: list, b: list, pages: bool = True) -> list:
         else:
             kids.append(b[3][j])
             j += 1
-    return [a[0], a[1] + b[1] if pages else a[1], slot, kids]
+    return [a[0], a[1] + b[1] if pages else a[1], slot, kids, *both]
 
 
 def _clean(text: str) -> str:
@@ -183,21 +195,48 @@ def _has_main(tree: list) -> bool:
     return tree[0].split(".")[0] in MAIN_TAGS or any(map(_has_main, tree[3]))
 
 
-def constants(tree: list, path: str = "", out: set | None = None) -> set:
-    """(path, text or its hash) of constant slots."""
-    out = set() if out is None else out
-    path = f"{path}/{tree[0]}"
-    if isinstance(tree[2], list) and tree[1] >= FEW and tree[2][1] >= NEARLY * tree[1]:
-        out.add((path, tree[2][0]))
-    for kid in tree[3]:
-        constants(kid, path, out)
-    return out
+def _mark(path: str, what: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\0{what}".encode("utf-8", "replace"))
+
+
+def _within(tree: list) -> tuple[int, int]:
+    """(characters, those in links) of a node and all below."""
+    below = [_within(kid) for kid in tree[3]]
+    return tree[4] + sum(x for x, _ in below), tree[5] + sum(x for _, x in below)
+
+
+def plan_of(tree: list) -> bytes:
+    """What extraction needs of a wrapper: whether it has a main element, then the marks of constant slots and of navigation blocks."""
+    marks: set[int] = set()
+    blocks: dict[str, list[int]] = {}
+
+    def walk(node: list, path: str, inside: bool) -> None:
+        path = f"{path}/{node[0]}"
+        tag = node[0].split(".")[0]
+        inside = inside or tag in MAIN_TAGS
+        if isinstance(node[2], list) and len(node[2][2]) >= FEW and node[2][1] >= NEARLY * node[1]:
+            marks.add(_mark(path, "=" + node[2][0]))
+        if tag in BLOCKS and tag not in ("html", "body") and not inside and not _has_main(node):
+            chars, linked = _within(node)
+            seen = blocks.setdefault(path, [0, 0, 0])
+            seen[0], seen[1], seen[2] = seen[0] + node[1], seen[1] + chars, seen[2] + linked
+        for kid in node[3]:
+            walk(kid, path, inside)
+
+    walk(tree, "", False)
+    chars, linked = _within(tree)
+    if linked < LINKED * chars:  # a host of nothing but links has no navigation to tell apart
+        marks |= {_mark(path, "a") for path, (pages, own, links) in blocks.items() if pages >= FEW and own and links >= LINKED * own}
+    return bytes([_has_main(tree)]) + b"".join(m.to_bytes(8, "little") for m in sorted(marks))
+
 
+def marks_of(plan: bytes) -> tuple[bool, frozenset[int]]:
+    return bool(plan[0]), frozenset(int.from_bytes(plan[i : i + 8], "little") for i in range(1, len(plan), 8))
 
-def text_of(root: Node, wrapper: list | None) -> str:
-    """The article's blocks, joined by newlines."""
-    fixed = constants(wrapper) if wrapper else set()
-    main = bool(wrapper) and _has_main(wrapper)
+
+def text_of(root: Node, plan: tuple[bool, frozenset[int]] | None) -> str:
+    """The article's blocks, joined by newlines; plan: marks_of() the host's, None if it has no wrapper."""
+    main, marks = plan or (False, frozenset())
     out: list[str] = []
     current: list[str] = []
 
@@ -207,6 +246,9 @@ def text_of(root: Node, wrapper: list | None) -> str:
                 out.append(block)
             current.clear()
 
+    def node_has_main(node: Node) -> bool:
+        return only_main and has_main(node)
+
     def has_main(node: Node) -> bool:
         return any(not isinstance(k, str) and not (k.away and k.tag != "header") and (k.tag in MAIN_TAGS or has_main(k)) for k in node.kids)
 
@@ -217,7 +259,9 @@ def text_of(root: Node, wrapper: list | None) -> str:
         if block:
             flush()
         own = [k for k in node.kids if isinstance(k, str) and k.strip()]
-        constant = not inside and own and (path, _held(" ".join(own))) in fixed
+        constant = bool(marks and own) and _mark(path, "=" + _held(" ".join(own))) in marks
+        if block and not inside and marks and _mark(path, "a") in marks and not node_has_main(node):
+            return
         for kid in node.kids:
             if isinstance(kid, str):
                 if not constant and (inside or not only_main):
@@ -227,7 +271,7 @@ def text_of(root: Node, wrapper: list | None) -> str:
         if block:
             flush()
 
-    only_main = (main or wrapper is None) and has_main(root)
+    only_main = (main or plan is None) and has_main(root)
     walk(root, "", False)
     flush()
     return "\n".join(out)
@@ -240,11 +284,12 @@ def induce(pages: DataFrame, html: str = "html", host: str = "_host") -> DataFra
     host_at, html_at = pages.columns.index(host), pages.columns.index(html)
 
     def within(batches):
+        _deep()
         trees: dict[str, dict[tuple, list]] = {}
         size = 0
         for batch in batches:
             for h, text in zip(batch.column(host_at).to_pylist(), batch.column(html_at).to_pylist(), strict=True):
-                tree = small_tree(parse(text or ""))
+                tree = page_tree(text or "")
                 own = trees.setdefault(h, {})
                 key = shape(tree)
                 size += key not in own
@@ -265,14 +310,35 @@ def induce(pages: DataFrame, html: str = "html", host: str = "_host") -> DataFra
         return whole
 
     def merged(table: pa.Table) -> pa.Table:
+        _deep()
         whole = together([json.loads(w) for w in sorted(table.column("wrapper").to_pylist())])
         return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(whole)])})
 
-    partial = pages.mapInArrow(over_batches(within), "host string, wrapper string")
-    # Two levels: a host that all tasks have meets in 16 groups first.
-    salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    first = salted.groupBy("host", "salt").applyInArrow(over_group(merged), "host string, wrapper string")
-    return first.groupBy("host").applyInArrow(over_group(merged), "host string, wrapper string")
+    trees = cut(pages.mapInArrow(over_batches(within), "host string, wrapper string"))
+    most = trees.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN:  # a host that all tasks have is merged FAN trees at a time
+        groups = -(-most // FAN)
+        salted = trees.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(groups)))
+        trees = cut(salted.groupBy("host", "salt").applyInArrow(over_group(merged), "host string, wrapper string"))
+        most = min(groups, -(-most // 2))
+    return trees.groupBy("host").applyInArrow(over_group(merged), "host string, wrapper string")
+
+
+def plans(wrappers: DataFrame) -> DataFrame:
+    """host, plan."""
+    import pyarrow as pa
+
+    def run(batches):
+        _deep()
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([plan_of(json.loads(w)) for w in t.column(1).to_pylist()], pa.binary())], names=["host", "plan"])
+
+    return wrappers.select("host", "wrapper").mapInArrow(over_batches(run), "host string, plan binary")
+
+
+def _deep() -> None:
+    """Lets trees of DEEP levels be walked."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEP))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -280,23 +346,24 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     import pyarrow as pa
 
     hosted = pages.withColumn("_host", host_of(F.col(url)))
-    wrappers = cut(induce(hosted.select("_host", html), html))
-    size = int(wrappers.agg(F.sum(F.octet_length("wrapper").cast("long"))).first()[0] or 0)
-    table = wrappers.withColumnsRenamed({"host": "_host", "wrapper": "_wrapper"})
+    table = cut(plans(induce(hosted.select("_host", html), html)).withColumnsRenamed({"host": "_host", "plan": "_plan"}))
+    size = int(table.agg(F.sum(F.octet_length("_plan").cast("long") + F.octet_length("_host"))).first()[0] or 0)
+    # Beyond BROADCAST the join is by host, and Spark splits a host's pages (adaptive skew join); a plan is small enough to go along with each.
     joined = hosted.join(F.broadcast(table) if size <= BROADCAST else table, "_host", "left")
 
-    def make(texts, wrappers_, held={}):  # noqa: B006  each wrapper is read once a task
+    def make(texts, plans_, held={}):  # noqa: B006  each plan is read once a task
+        _deep()
         out = []
-        for text, w in zip(texts.to_pylist(), wrappers_.to_pylist(), strict=True):
+        for text, p in zip(texts.to_pylist(), plans_.to_pylist(), strict=True):
             if len(held) > 1000:
                 held.clear()
-            wrapper = held.get(w)
-            if wrapper is None and w:
-                wrapper = held[w] = json.loads(w)
-            out.append(text_of(parse(text.decode("utf-8", "replace")), wrapper))
+            plan = held.get(p)
+            if plan is None and p:
+                plan = held[p] = marks_of(p)
+            out.append(text_of(parse(text.decode("utf-8", "replace")), plan))
         return [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
 
-    return add_columns(joined, "text string, n_chars bigint", make, html, ("_wrapper",)).drop("_host", "_wrapper")
+    return add_columns(joined, "text string, n_chars bigint", make, html, ("_plan",)).drop("_host", "_plan")
 
 
 def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Decontamination, quality, extraction: a text or page at a time."""
 
 import html
+import json
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontamination as dec
 from palimpsest.llm import quality, wrapper
@@ -123,24 +125,64 @@ def test_extraction(spark, write):
     assert wrapper.op9_wrapper(spark, write(pages=[])).count() == 0
 
 
-def test_constant_slots_are_template():
-    pages = [wrapper.small_tree(wrapper.parse(f"<body><div class=top>Welcome to the site</div><div class=x><p>text {i}</p></div></body>")) for i in range(10)]
-    whole = pages[0]
+def induced(pages):
+    whole = wrapper.page_tree(pages[0])
     for p in pages[1:]:
-        whole = wrapper.merge(whole, p)
-    assert whole[1] == 10
-    assert wrapper.text_of(wrapper.parse("<body><div class=top>Welcome to the site</div><div class=x><p>text 3</p></div></body>"), whole) == "text 3"
+        whole = wrapper.merge(whole, wrapper.page_tree(p))
+    return whole
+
+
+def taken(page, whole):
+    return wrapper.text_of(wrapper.parse(page), whole and wrapper.marks_of(wrapper.plan_of(whole)))
+
+
+def test_constant_slots_are_template():
+    page = lambda i: f"<body><div class=top>Welcome to the site</div><div class=x><p>text {i}</p></div></body>"
+    whole = induced([page(i) for i in range(10)])
+    assert whole[1] == 10 and taken(page(3), whole) == "text 3"
 
 
-def test_constant_text_is_on_nearly_all_pages_of_its_node():
+@pytest.mark.parametrize("n", [4, 8, 40])
+def test_constant_text_is_on_nearly_all_pages_of_its_node(n):
     notice = "All rights are reserved by the owner of this site. " * 6
-    page = lambda i, stray="": wrapper.parse(f"<body><div class=post>{stray}<p>text {i}</p></div><div class=legal>{notice}</div></body>")
-    for n in (8, 40):
-        whole = wrapper.small_tree(page(0, "A stray sentence."))
-        for i in range(1, n):
-            whole = wrapper.merge(whole, wrapper.small_tree(page(i)))
-        assert wrapper.text_of(page(0, "A stray sentence."), whole) == "A stray sentence.\ntext 0"
-        assert wrapper.text_of(page(3), whole) == "text 3"
+    page = lambda i, stray="": f"<body><div class=post>{stray}<p>text {i}</p></div><div class=legal>{notice}</div></body>"
+    whole = induced([page(i, "A stray sentence." * (not i)) for i in range(n)])
+    assert taken(page(0, "A stray sentence."), whole) == "A stray sentence.\ntext 0"
+    assert taken(page(3), whole) == "text 3"
+
+
+def test_copies_of_a_page_prove_nothing():
+    page = "<body><div><p>the same text</p></div></body>"
+    assert taken(page, induced([page] * 50)) == "the same text"
+
+
+def test_the_wrapper_decides_where_no_tag_or_name_tells(spark, write):
+    """A plain version knows what each page was made of; without the wrapper menus and notices stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    links = lambda: "".join(f'<li><a href="/{i}">{word()} {word()}</a></li>' for i in range(rng.randrange(3, 6)))
+    pages, want = [], {}
+    for i in range(60):
+        host, paragraphs = f"h{i % 2}.org", [" ".join(word() for _ in range(rng.randrange(5, 30))) for _ in range(rng.randrange(1, 6))]
+        share = f"<p class=q>Pass this on to a friend of {host}</p>"
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        holder = f"<article>{body}{share}</article>" if i % 2 else f"<div class=z><div>{body}</div>{share}</div>"
+        pages.append((i, f"http://{host}/{i}", f"<html><body><div class=u><ul>{links()}</ul></div>{holder}<div class=v>Written at {host}. {'Long words. ' * 40}</div></body></html>", None, None))
+        want[i] = "\n".join(paragraphs)
+    got = {r.page_id: r.text for r in wrapper.op9_wrapper(spark, write(pages=pages)).collect()}
+    assert got == want
+    assert all(wrapper.text_of(wrapper.parse(p[2]), None) != want[p[0]] for p in pages)
+
+
+def test_wrappers_do_not_depend_on_how_trees_are_merged(spark, write, monkeypatch):
+    pages = [(i, "http://a.org/", f"<body><div class=c>Same</div><p>{i}</p>{'<table><tr><td>' + str(i) + '</table>' if i % 3 else ''}</body>", None, None) for i in range(40)]
+    d = write(pages=pages)
+    frame = spark.read.parquet(f"{d}/pages.parquet").repartition(20).select(F.lit("a.org").alias("_host"), "html")
+    whole = wrapper.induce(frame).first()["wrapper"]
+    monkeypatch.setattr(wrapper, "FAN", 3)
+    parts = wrapper.induce(frame).collect()
+    assert len(parts) == 1 and wrapper.plan_of(json.loads(parts[0]["wrapper"])) == wrapper.plan_of(json.loads(whole))
+    assert wrapper.shape(json.loads(whole)) == wrapper.shape(json.loads(parts[0]["wrapper"]))
 
 
 def test_tree_matching_counts_common_nodes():
