@@ -43,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The bytes up to which a table of a known number of rows is broadcast, and what a row of it may take.
+BROADCAST, ROW = 64 << 20, 64
+
+
+def hinted(small: DataFrame, rows: int) -> DataFrame:
+    """small, which has `rows` rows of ROW bytes at most, broadcast if that is little enough."""
+    return F.broadcast(small) if rows * ROW <= BROADCAST else small
+
+
 #: Plans whose rows keep their order and partitions however often they are evaluated.
 _STEADY = {"LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "Project", "Filter"}
 

@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hinted
 
 #: Keys drawn per range, ranges per shard at least, bytes per range at most on average, and by how much a range may exceed the mean.
 SAMPLE_PER_RANGE, RANGES_PER_SHARD, RANGE_BYTES, OVERFULL = 16, 64, 256 << 20, 2.0
-#: Slots of the 32-bit key, ranges that are summed up in one piece, and the bytes up to which a table of ranges (of ROW bytes a row) is broadcast.
-SLOTS, CHUNK, BROADCAST, ROW = 1 << 16, 1024, 64 << 20, 64
+#: Slots of the 32-bit key, and ranges that are summed up in one piece.
+SLOTS, CHUNK = 1 << 16, 1024
 MADE = ("_size", "_key", "shard", "slot")
 
 
@@ -35,11 +35,6 @@ def _slot(key: Column) -> Column:
     return F.shiftright(key, 16).cast("int")
 
 
-def _hinted(small: DataFrame, rows: int) -> DataFrame:
-    """small, of `rows` rows at most, broadcast if they are few enough."""
-    return F.broadcast(small) if rows * ROW <= BROADCAST else small
-
-
 def draw_splitters(keyed: DataFrame, total: int, ranges: int) -> DataFrame:
     """_key: up to ranges - 1 different keys that cut the bytes near equally, from about SAMPLE_PER_RANGE * ranges sampled keys."""
     wanted = SAMPLE_PER_RANGE * ranges
@@ -64,7 +59,7 @@ def with_range(keyed: DataFrame, splitters: DataFrame, ranges: int) -> DataFrame
     inner = F.coalesce("inner", F.expr("cast(array() as array<bigint>)"))
     n = F.size(inner)
     slots = slots.select("_slot", (F.sum(n).over(Window.orderBy("_slot")) - n).cast("int").alias("base"), inner.alias("inner"))
-    found = keyed.withColumn("_slot", _slot(F.col("_key"))).join(_hinted(slots, SLOTS + ranges), "_slot")
+    found = keyed.withColumn("_slot", _slot(F.col("_key"))).join(hinted(slots, SLOTS + ranges), "_slot")
     return found.withColumn("_range", F.col("base") + F.size(F.filter("inner", lambda s: s <= F.col("_key")))).drop("_slot", "base", "inner")
 
 
@@ -90,10 +85,10 @@ def assign_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: st
 
     over = ranged.groupBy("_range").agg(F.sum("_size").alias("size")).where(F.col("size") > OVERFULL * mean)
     over = cut(over.select("_range", F.ceil(F.col("size") / mean).alias("_parts")))  # fewer rows than ranges / OVERFULL
-    split = ranged.join(_hinted(over, ranges), "_range", "left")
+    split = ranged.join(hinted(over, ranges), "_range", "left")
     same = ["_range", "_key", "_tie"]
     copies = cut(split.where("_parts is not null").groupBy(*same).agg(F.sum("_size").alias("size")).where(F.col("size") > mean).select(*same, F.lit(True).alias("_many")))  # fewer rows than ranges
-    split = split.join(_hinted(copies.withColumnRenamed("_tie", "_tied").withColumnsRenamed({"_range": "_r", "_key": "_k"}), ranges), F.expr("_range = _r and _key = _k and _tie <=> _tied"), "left").drop("_r", "_k", "_tied")
+    split = split.join(hinted(copies.withColumnRenamed("_tie", "_tied").withColumnsRenamed({"_range": "_r", "_key": "_k"}), ranges), F.expr("_range = _r and _key = _k and _tie <=> _tied"), "left").drop("_r", "_k", "_tied")
     salt = F.when(F.col("_many"), F.col("_id")).otherwise(F.lit(-1))
     split = split.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_tie", salt, F.lit("parts")), F.col("_parts"))).cast("int")).drop("_parts", "_many")
 
@@ -102,7 +97,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: st
     before = F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     middle = F.col("_bytes") + F.col("_before") + (F.col("_size") / 2).cast("long")
     placed = (
-        split.join(_hinted(offsets, 3 * ranges), ["_range", "_part"])
+        split.join(hinted(offsets, 3 * ranges), ["_range", "_part"])
         .withColumns({"_before": before, "_nth": F.row_number().over(w).cast("long") - 1 + F.col("_rows")})
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards) / F.lit(max(total, 1)))).cast("int"))
     )

@@ -1,7 +1,57 @@
 """DuckDB SQL that says what a query returns, in full, over its whole tables.
 
-op1: every leak in the test tables is verbatim or far from it, but edits are beyond SQL's reach at that size; op2 and op8 need tokenisers, op3 and op4 iterate, op6 needs a method's spans, op7 a sample's
-splitters, op9 a tree: these are tested against brute force in tests/llm.
+op4 goes all its rounds by recursion over one table of weights, in which the teleport is a host without name. op1's edits, op2's and op8's tokenisers, op3's states, op6's checksums, op7's sample and op9's trees are
+beyond SQL: those queries are tested against brute force in tests/llm.
+"""
+
+from .url_filter import BLOCK_AT, DAMPING, ROUNDS
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _host(url: str) -> str:
+    return f"coalesce(translate(regexp_extract(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _rule(host: str, path: str, values: tuple[str, str, str, str]) -> str:
+    rules = (("example.net", "/en/"), ("example.com", "/de/"), ("org", "/fr/"), ("net", "/"))  # the longest first
+    return "CASE " + " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{v}'" for (h, p), v in zip(rules, values, strict=True)) + " END"
+
+
+_NAMES, _VERDICTS = ("example.net/en/", "example.com/de/", "org/fr/", "net/"), ("allow", "block", "allow", "block")
+
+OP4 = rf"""
+WITH RECURSIVE parsed AS (SELECT page_id, html, {_host("url")} AS host, {_path("url")} AS path FROM pages),
+judged AS (SELECT *, {_rule("host", "path", _NAMES)} AS rule, {_rule("host", "path", _VERDICTS)} AS ruled FROM parsed),
+hosts AS (SELECT host, count(*) FILTER (ruled = 'allow')::DOUBLE AS trusted, count(*) FILTER (ruled = 'block')::DOUBLE AS blocked FROM judged WHERE host <> '' GROUP BY host),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS u FROM parsed WHERE host <> '' AND contains(html, '//')),
+named AS (SELECT src, CASE WHEN starts_with(u, '//') THEN 'x:' || u ELSE u END AS u FROM found WHERE contains(u, '//')),
+linked AS (SELECT src, {_host("u")} AS dst, {_path("u")} AS path FROM named),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS n, (count(*) FILTER ({_rule("dst", "path", _VERDICTS)} = 'block'))::DOUBLE AS bad FROM linked WHERE dst <> '' AND src <> dst GROUP BY src, dst),
+outs AS (SELECT *, sum(n) OVER (PARTITION BY src) AS gone, sum(n) OVER (PARTITION BY dst) AS come FROM edges),
+seeds AS (
+  SELECT host, 'trust' AS kind, trusted / greatest(sum(trusted) OVER (), 1e-300) AS seed FROM hosts
+  UNION ALL SELECT host, 'distrust', blocked / greatest(sum(blocked) OVER (), 1e-300) FROM hosts
+  UNION ALL SELECT src, 'exposure', {DAMPING} * sum(bad / gone) FROM outs GROUP BY src),
+weights AS (
+  SELECT src, dst, 'trust' AS kind, {DAMPING} * n / gone AS w FROM outs
+  UNION ALL SELECT dst, src, 'distrust', {DAMPING} * n / come FROM outs
+  UNION ALL SELECT dst, src, 'exposure', {DAMPING} * (n - bad) / gone FROM outs
+  UNION ALL SELECT '', host, kind, (1 - {DAMPING}) * seed FROM seeds
+  UNION ALL SELECT DISTINCT '', '', kind, 1.0 FROM seeds),
+scores AS (
+  SELECT 0 AS r, host, kind, seed AS score FROM seeds
+  UNION ALL SELECT DISTINCT 0, '', kind, 1.0 FROM seeds
+  UNION ALL SELECT r + 1, dst, weights.kind, sum(score * w) FROM scores JOIN weights ON src = host AND weights.kind = scores.kind WHERE r < {ROUNDS} GROUP BY r + 1, dst, weights.kind),
+settled AS (SELECT host, kind, score / CASE WHEN kind = 'exposure' OR sum(score) OVER (PARTITION BY kind) = 0 THEN 1 ELSE sum(score) OVER (PARTITION BY kind) END AS score FROM scores WHERE r = {ROUNDS} AND host <> ''),
+bad AS (
+  SELECT host FROM settled GROUP BY host
+  HAVING coalesce(sum(score) FILTER (kind = 'exposure'), 0) >= {BLOCK_AT} AND coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
 
 OP5 = r"""
@@ -38,4 +88,4 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS comp
 FROM documents d JOIN reached ON reached.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op5_substring": OP5, "op10_near_dedup": OP10}
+ORACLE_SQL = {"op4_url_filter": OP4, "op5_substring": OP5, "op10_near_dedup": OP10}

@@ -6,7 +6,10 @@ hosts by their blocked pages, against the direction of links (who links to a blo
 distrust exceeds its trust and its exposure is at least BLOCK_AT. Distrust is split among all who link to a blocked host; exposure is not, so a farm of any number of hosts is caught: it is the
 share of the host's own personalised PageRank that ends at urls which rules block, (1 - DAMPING) * DAMPING = 0.1275 where each of its links goes to one, so 0.1 asks for 79 % of them or as much by longer ways. Blocked pages of its own are no exposure: a rule about a path says nothing about the host's other paths.
 
-Links come from the pages' href values; edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row.
+A walk that comes to a host without links goes back to the seeds. That only scales all scores alike (x = c (I - d M)^-1 s for some c), so it is done by dividing by their sum in the end. Exposure is a probability and is not scaled.
+
+Links come from the pages' href values; edges are counted per pair of hosts before anything is joined, so a host with a third of all pages is one row. A hub's edges are dealt over parts of HUB each, and its score is repeated for
+them, so no task joins more of one host. Blocked hosts are broadcast to the pages up to BROADCAST bytes, else repeated for SALTS parts of each host's pages.
 Everything is DataFrame expressions; scores live in a table of hosts and are never collected. Lineage is cut every CUT_EVERY rounds. A round shrinks the distance (L1) to the
 settled scores by DAMPING and it is 2 at most at the start, so ROUNDS rounds bring it below TOLERANCE; scores that stand still before that end the rounds.
 
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import BROADCAST, ascii_lower, cut, hinted
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -29,6 +32,8 @@ DAMPING, TOLERANCE, CUT_EVERY, BLOCK_AT = 0.85, 1e-4, 4, 0.1
 ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 #: The change over CUT_EVERY rounds up to which scores stand still: what rounding leaves.
 STILL = 1e-13
+#: Edges of a host in a part, and the parts of a host's pages where blocked hosts are not broadcast.
+HUB, SALTS = 100_000, 16
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -82,22 +87,37 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     mass = seeds.groupBy("kind").agg(F.greatest(F.sum("weight"), F.lit(1e-300)).alias("mass"))
     # Hosts that are linked but have no page of their own score too.
     ends = both.select(F.col("dst").alias("host"), "kind", (F.col("bad") * DAMPING).alias("weight"))
-    both = both.drop("bad")
+    n_edges = both.count()
+    hubs = cut(both.groupBy(F.col("src").alias("host"), "kind").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))  # n_edges / HUB rows at most
+    few = n_edges // HUB
+    dealt = both.drop("bad").withColumnRenamed("src", "host")
+    if few:
+        dealt = dealt.join(hinted(hubs, few), ["host", "kind"], "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+    else:
+        dealt = dealt.withColumn("part", F.lit(0))
+    dealt = cut(dealt)
     seeds = cut(seeds.join(F.broadcast(mass), "kind").select("host", "kind", (F.col("weight") / F.col("mass")).alias("weight")).unionByName(ends).groupBy("host", "kind").agg(F.sum("weight").alias("seed")))
     score = last = seeds.select("host", "kind", F.col("seed").alias("score"))
-    if both.isEmpty():
-        rounds = 0  # without an edge nothing flows: the teleport is the score
-    for i in range(rounds):
-        flow = score.join(both.withColumnRenamed("src", "host"), ["host", "kind"]).select(F.col("dst").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("flow"))
-        start = seeds.select("host", "kind", (F.col("seed") * (1 - DAMPING)).alias("flow"))
-        new = flow.unionByName(start).groupBy("host", "kind").agg(F.sum("flow").alias("score"))
-        score = new
+    start = seeds.select("host", "kind", (F.col("seed") * (1 - DAMPING)).alias("flow"))
+
+    def told(score: DataFrame) -> DataFrame:
+        """score with a row for each part of a host's edges."""
+        if not few:
+            return score.withColumn("part", F.lit(0))
+        return score.join(hinted(hubs, few), ["host", "kind"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    for i in range(rounds if n_edges else 0):  # without an edge nothing flows: the teleport is the score
+        flow = told(score).join(dealt, ["host", "kind", "part"]).select(F.col("dst").alias("host"), "kind", (F.col("score") * F.col("share") * DAMPING).alias("flow"))
+        score = flow.unionByName(start).groupBy("host", "kind").agg(F.sum("flow").alias("score"))
         if (i + 1) % CUT_EVERY == 0:
-            score = cut(new)
+            score = cut(score)
             moved = score.unionByName(last.withColumn("score", -F.col("score"))).groupBy("host", "kind").agg(F.abs(F.sum("score")).alias("by"))
             if (moved.agg(F.sum("by")).first()[0] or 0.0) <= STILL:
                 break
             last = score
+    score = cut(score)
+    sums = score.where("kind <> 'exposure'").groupBy("kind").agg(F.sum("score").alias("sum"))  # two rows
+    score = score.join(F.broadcast(sums), "kind", "left").withColumn("score", F.when(F.col("sum") > 0, F.col("score") / F.col("sum")).otherwise(F.col("score")))
     return score.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust", "exposure")])
 
 
@@ -110,8 +130,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     hosts = parsed.where("host <> ''").groupBy("host").agg(pages_of("allow").alias("trusted"), pages_of("block").alias("blocked"))
     hosts = cut(hosts)
     scores = propagate(hosts, host_links(pages, rules))
-    bad = scores.where((F.col("exposure") >= BLOCK_AT) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged"))
-    out = parsed.join(bad, "host", "left")
+    bad = cut(scores.where((F.col("exposure") >= BLOCK_AT) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("judged")))
+    size = int(bad.agg(F.sum(F.octet_length("host").cast("long") + 16)).first()[0] or 0)
+    if size <= BROADCAST:
+        out = parsed.join(F.broadcast(bad), "host", "left")
+    else:
+        parts = bad.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = parsed.withColumn("_part", F.pmod(F.xxhash64("path", "url"), F.lit(SALTS)).cast("int")).join(parts, ["host", "_part"], "left").drop("_part")
     return out.withColumn("verdict", F.coalesce("ruled", "judged", F.lit("allow"))).drop("ruled", "judged")
 
 
