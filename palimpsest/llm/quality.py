@@ -26,11 +26,25 @@ from .common import add_columns
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Tokens in a window of the entropy; a text is dealt evenly into windows nearest to this, one if it is shorter.
 SPAN = 4000
+#: What windows' hashes are mixed by.
+MIXERS = (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 #: (least characters per token, most; most byte-fallback share; least entropy of tokens as a share of the most that so many tokens can have).
 LATIN, OTHER = (1.5, 8.0, 0.10, 0.40), (0.3, 12.0, 0.60, 0.30)
 BANDS = {"en": (1.90, 8.0, 0.05, 0.45), "de": (1.95, 8.0, 0.05, 0.45), "fr": (1.75, 8.0, 0.05, 0.45), "es": (1.80, 8.0, 0.05, 0.45)}
-SCRIPTS = [("latin", re.compile(r"[A-Za-zÀ-ɏ]"), LATIN)]
+#: Scripts that a vocabulary may know little of: letters of 2 bytes give half a character a token at least, those of 3 bytes a third; bare bytes are no flaw there, flat or endlessly repeated tokens are.
+TWO_BYTES, THREE_BYTES = (0.45, 8.0, 0.95, 0.35), (0.30, 6.0, 0.98, 0.30)
+SCRIPTS = [
+    ("latin", re.compile(r"[A-Za-zÀ-ɏ]"), LATIN),
+    ("cyrillic", re.compile(r"[Ѐ-ԯ]"), TWO_BYTES),
+    ("greek", re.compile(r"[Ͱ-Ͽἀ-῿]"), TWO_BYTES),
+    ("hebrew", re.compile(r"[֐-׿]"), TWO_BYTES),
+    ("arabic", re.compile(r"[؀-ۿݐ-ݿ]"), TWO_BYTES),
+    ("devanagari", re.compile(r"[ऀ-ॿ]"), THREE_BYTES),
+    ("thai", re.compile(r"[฀-๿]"), THREE_BYTES),
+    ("hangul", re.compile(r"[가-힣ᄀ-ᇿ]"), THREE_BYTES),
+    ("han", re.compile(r"[㐀-鿿぀-ヿ]"), THREE_BYTES),
+]
 
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, chars_per_token double, fallback_share double, token_entropy double, kept boolean"
 
@@ -66,11 +80,11 @@ def repeated(ids: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.nd
         lengths = np.diff(starts)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         at = np.flatnonzero(doc[: n - window + 1] == doc[window - 1 :])
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(MIXERS[0])
         mixed ^= mixed >> np.uint64(29)
-        h = doc.astype(np.uint64)[at] * np.uint64(0xD6E8FEB86659FD93)
+        h = doc.astype(np.uint64)[at] * np.uint64(MIXERS[1])
         for j in range(window):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) + mixed[at + j]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(MIXERS[1]) + mixed[at + j]
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(order), bool)
         same[1:] = h[order][1:] == h[order][:-1]

@@ -79,6 +79,45 @@ def test_fertility_separates_symbols_from_prose():
     assert sum(clean) >= 0.98 * len(clean)
 
 
+def test_measures_and_verdicts_equal_brute_force():
+    import math
+    from collections import Counter
+
+    import pyarrow.dataset as ds
+    import public_tokenizers
+    import sentencepiece
+
+    docs = ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table().to_pylist()[:120]
+    docs += [{"text": "привет мир это текст о том как идут дела в большом городе и что люди делают каждый день утром и вечером", "lang": "ru"}, {"text": "\U0001f600 " * 25, "lang": None}, {"text": "", "lang": "en"}]
+    names = [f.split()[0] for f in quality.FIELDS.split(", ")]
+    cols = quality.measure_texts([d["text"].encode() for d in docs], [d["lang"] for d in docs], quality.Fertility())
+    encode, pieces = quality.vocabulary().encode_ordinary, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for d, r in zip(docs, (dict(zip(names, x, strict=True)) for x in zip(*[c.to_pylist() for c in cols], strict=True)), strict=True):
+        words = d["text"].split()
+        tokens = [i for w in words for i in encode(" " + w)]
+        bare = [pieces.is_byte(i) for w in words for i in pieces.encode(w)]
+        if not words:
+            assert r["chars_per_token"] is None and not r["kept"]
+            continue
+        k = max(1, round(len(tokens) / quality.SPAN))
+        windows = [[t for j, t in enumerate(tokens) if j * k // len(tokens) == w] for w in range(k)]
+        shares = [(len(w), -sum(c / len(w) * math.log(c / len(w)) for c in Counter(w).values()) / math.log(len(w))) for w in windows if len(w) > 1]
+        entropy = sum(n * x for n, x in shares) / len(tokens) if len(tokens) > 1 else 1.0
+        assert r["chars_per_token"] == pytest.approx(sum(map(len, words)) / len(tokens)) and r["fallback_share"] == pytest.approx(sum(bare) / len(bare)) and r["token_entropy"] == pytest.approx(entropy)
+        low, high, most, least = quality.band_of(d["lang"], d["text"].encode())
+        assert r["kept"] == (not r["base_failed"] and low <= r["chars_per_token"] <= high and r["fallback_share"] <= most and entropy >= least)
+
+
+def test_labelled_clean_documents_are_kept():
+    import pyarrow.dataset as ds
+
+    at = "/root/testdata/sf0.01"
+    good = {r["doc_id"] for r in ds.dataset(f"{at}/labels.parquet").to_table().to_pylist() if r["quality"] == 1}
+    docs = [r for r in ds.dataset(f"{at}/documents.parquet").to_table().to_pylist() if r["doc_id"] in good]
+    made = dict(zip([f.split()[0] for f in quality.FIELDS.split(", ")], (c.to_pylist() for c in quality.measure_texts([d["text"].encode() for d in docs], [d["lang"] for d in docs], quality.Fertility())), strict=True))
+    assert len(docs) > 100 and all(k or f for k, f in zip(made["kept"], made["base_failed"], strict=True))
+
+
 @pytest.mark.parametrize("n", [20_000, 200_000])
 def test_length_alone_rejects_no_clean_text(n):
     import pyarrow.dataset as ds
@@ -98,8 +137,13 @@ def test_length_alone_rejects_no_clean_text(n):
 
 
 def test_repeats_survive_a_hash_that_fails(monkeypatch):
-    ids, starts = np.array([0, 1, 2, 3, 4, 5, 6, 7] * 3 + [9] * 7), np.array([0, 31])
-    assert quality.repeated(ids, starts).sum() == 24
+    rng = np.random.default_rng(2)
+    ids, starts = np.concatenate([[0, 1, 2, 3, 4, 5, 6, 7] * 3 + [9] * 7, rng.integers(0, 2, 300)]), np.array([0, 31, 331])
+    want = quality.repeated(ids, starts)
+    assert want[:31].sum() == 24
+    # All windows get one hash: the words decide.
+    monkeypatch.setattr(quality, "MIXERS", (0, 0))
+    assert (quality.repeated(ids, starts) == want).all()
 
 
 PAGE = '<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Home</a></li><li><a href="/{t}">{t}</a></li></ul></nav><div class="ad">Buy {t}</div><article><h1>{t}</h1>{body}<section id="comments"><p>nice</p></section></article><aside>more</aside><form><p>mail</p></form><footer>&copy; {t}</footer></body></html>'
