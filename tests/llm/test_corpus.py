@@ -102,6 +102,27 @@ def test_near_duplicates_equal_brute_force(spark, write):
     assert sorted(map(tuple, odd), key=str) == sorted([(None, 1, None, True), (3, 1, 3, True), (None, 1, 3, False), (3, 1, 3, True), (None, 0, None, True)], key=str)
 
 
+def test_big_buckets_are_banded_again(spark, write, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BIG", 6)
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "LEVELS", 2)
+    rng = random.Random(7)
+    shared = " ".join(f"p{i}" for i in range(120))
+    docs = [(k, shared + " " + " ".join(f"q{rng.randrange(9999)}" for _ in range(rng.randrange(30, 200)))) for k in range(90)]
+    docs += [(200 + k, docs[k][1] + f" end{k}") for k in range(0, 90, 7)] + groups(5)[:60]
+    got = sorted(map(tuple, near_dedup.op10_near_dedup(spark, write(documents=docs)).collect()))
+    assert got == near(docs)
+
+
+def test_joining_components_equals_starting_anew(spark):
+    rng = random.Random(6)
+    pairs = lambda n: [(rng.randrange(60), rng.randrange(60)) for _ in range(n)]
+    first, more = pairs(25), pairs(12)
+    frame = lambda rows: spark.createDataFrame([(a, b) for a, b in rows if a != b], "a long, b long")
+    labels = near_dedup.joined(near_dedup.connected(frame(first)), frame(more))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, near_dedup.connected(frame(first + more)).collect()))
+
+
 def test_verification_prunes_at_its_miss_probability():
     need = near_dedup.least_matches()
     rng = np.random.default_rng(1)
