@@ -72,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
     add("ship", "target")
     add("restore", "archive", ("--as-of-txn", {"type": int}))
     add("vacuum")
+    add("unlock")
     add("compact", "table")
     add("verify")
     add("manifest", ("action", {"choices": ["show", "list"]}), ("what", {"nargs": "?"}), ("--limit", {"type": int, "default": 20}))
@@ -89,6 +90,10 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None):
     spark = spark or session()
     if not args.db:
         raise ConfigError("--db is needed")
+    if args.command == "unlock":
+        e = Engine(spark, args.db, read_only=True)
+        e.unlock()
+        return {"unlocked": args.db}
     if args.command == "restore":
         return archive.restore(spark, args.archive, args.db, args.as_of_txn)
     reading = args.command in ("get", "asof", "history", "scan", "verify", "manifest", "stats", "export-status") or args.command == "table" and args.action in ("list", "describe") or args.command == "quarantine" and args.action == "list"

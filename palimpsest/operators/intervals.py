@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..plans.config import TableConfig
 
 
-def looks_like_intervals(df: DataFrame, start: str = "__START_AT") -> bool:
-    return start in df.columns
-
-
 def from_intervals(rows: DataFrame, cfg: TableConfig, start: str = "_start", end: str = "_end", order: str = "_ord") -> DataFrame:
     """Staged rows: an upsert at each start, and a delete at an end that no next start follows directly. Rows without start pass as they are; an end not after its start is refused."""
     w = Window.partitionBy(*cfg.business_key, F.col(start).isNull()).orderBy(start, order)

@@ -1,6 +1,7 @@
 """Publication: the state as open files for other engines, each transaction exactly once.
 
-<location>/_contract.json, _commit_log/<n>.json (which files are live), data/part=<n>/ in any format that Spark writes. A reader trusts the log; folders that it does not name are swept.
+<location>/_contract.json, _commit_log/<n>.json (which files are live), data/part=<n>/ in any format that Spark writes, partitions/n=<n>/ (rows by partition, a table). A reader trusts the log; folders that it does not name are swept
+by the next publication.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..plans.config import TableConfig
 from ..plans.files import Files
-from ..plans.store import Engine
-from .decide import DELETE
+from ..plans.store import Engine, EngineError
+from .decide import DELETE, touched
 
 FORMAT = "bitemporal-open-v1"
 
@@ -50,14 +51,17 @@ def consolidate(published: DataFrame, cfg: TableConfig) -> DataFrame:
 
 
 def view_sql(cfg: TableConfig, source: str) -> str:
-    """The same as SQL that any engine with windows can run."""
+    """The same as SQL: of each key and start the row that was learned last (max_by), and as its end the least start after it where it has none."""
     start, end, ops = cfg.start_end_ops
-    key = ", ".join(cfg.business_key)
-    current = f"_op <> '{DELETE}' AND {end} IS NULL" if ops else f"{end} IS NULL"
-    return (
-        f"SELECT *, {current} AS _is_current FROM (SELECT * EXCEPT (_n, {end}), COALESCE({end}, LEAD({start}) OVER (PARTITION BY {key} ORDER BY {start})) AS {end} "
-        f"FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key}, {start} ORDER BY _tx_time DESC) AS _n FROM {source}) WHERE _n = 1)"
-    )
+    by = [*cfg.business_key, start]
+    rest = [c for c in [*cfg.names, end, "_tx_time", "_txn_id", "_schema_version", *(["_op"] if ops else [])] if c not in by]
+    said = ", ".join(f"max_by({c}, _tx_time) AS {c}" if c != "_tx_time" else "max(_tx_time) AS _tx_time" for c in rest)
+    nullable = f"max_by(struct({end}), _tx_time).{end} AS {end}"  # the last row's end may be null, and must then stay so
+    said = said.replace(f"max_by({end}, _tx_time) AS {end}", nullable)
+    after = f"min({start}) OVER (PARTITION BY {', '.join(cfg.business_key)} ORDER BY {start} ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)"
+    alive = f"(_op <> '{DELETE}') AND " if ops else ""
+    shown = ", ".join(c for c in [*by, *rest] if c != end)
+    return f"SELECT *, {alive}{end} IS NULL AS _is_current FROM (SELECT {shown}, ifnull({end}, {after}) AS {end} FROM (SELECT {', '.join(by)}, {said} FROM {source} GROUP BY {', '.join(by)}) AS said) AS told"
 
 
 class Publisher:
@@ -70,10 +74,12 @@ class Publisher:
         if not where:
             raise ValueError(f"{table} has no location to publish to")
         self.files = Files(engine.spark, where)
-        self._sweep()
+        self._known: list[dict] = []
 
     def _log(self) -> list[dict]:
-        return [self.files.json("_commit_log", n) for n in self.files.names("_commit_log")]
+        names = [n for n in self.files.names("_commit_log") if n.endswith(".json") and not n.startswith(".")]
+        self._known += [self.files.json("_commit_log", n) for n in names[len(self._known) :]]
+        return list(self._known)
 
     def _live(self) -> list[str]:
         out: list[str] = []
@@ -82,6 +88,9 @@ class Publisher:
         return out
 
     def _sweep(self) -> None:
+        """Deletes parts that the log does not name; only a publisher that is about to write does."""
+        if self.engine.read_only:
+            raise EngineError("this engine only reads")
         live = set(self._live())
         for n in self.files.names("data"):
             if f"data/{n}" not in live:
@@ -93,6 +102,7 @@ class Publisher:
 
     def publish(self) -> dict | None:
         """Appends what was committed since the watermark; None if there is nothing new."""
+        self._sweep()
         commits, mark = self.engine.commits(), self.watermark
         new = [c for c in commits if c["txn_id"] > mark and self.table in c.get("tables", {})]
         if not new:
@@ -101,8 +111,9 @@ class Publisher:
         names = [x for c in new for x in c["tables"][self.table]["data"] if x.startswith("tables/")]
         log = self.engine._read(names, self.cfg).drop("_bucket")
         if not self.cfg.start_end_ops[2]:
-            # Whether a tombstone replaces a version shows only beside the versions before.
-            whole = render(self.engine._read(self.engine.data_of(self.table, commits), self.cfg).drop("_bucket"), self.cfg)
+            # Whether a tombstone replaces a version shows only beside the versions before, of the same keys.
+            keys = log.select(*self.cfg.business_key).distinct()
+            whole = render(touched(self.engine._touched_log(self.table, self.cfg, keys, commits), keys, self.cfg), self.cfg)
             rows = whole.where((F.col("_txn_id") >= new[0]["txn_id"]) & (F.col("_txn_id") <= new[-1]["txn_id"]))
         else:
             rows = render(log, self.cfg)
@@ -117,8 +128,11 @@ class Publisher:
         # Partition columns stay in the files too, beside the folders' _p_ columns.
         (writer.partitionBy(*[f"_p_{c}" for c in parts]) if parts else writer).save(self.files.at(to))
         back = self.engine.spark.read.format(self.kind).schema(rows.schema).load(self.files.at(to))
-        counts = [r.asDict() for r in back.groupBy(*parts).count().limit(10_000).collect()]
-        entry = {"n": n, "txn_from": txn_from, "txn_to": txn_to, "load_ids": load_ids, "files": [to], "replaces": list(replaces), "partitions": counts}
+        counts = f"partitions/n={n:010d}"
+        self.files.delete(counts)
+        back.groupBy(*parts).agg(F.count("*").alias("count")).write.parquet(self.files.at(counts))
+        total = self.engine.spark.read.parquet(self.files.at(counts)).agg(F.count("*"), F.sum("count")).first()
+        entry = {"n": n, "txn_from": txn_from, "txn_to": txn_to, "load_ids": load_ids, "files": [to], "replaces": list(replaces), "rows": total[1] or 0, "partitions": total[0], "partition_counts": counts}
         if not self.files.exists("_contract.json"):
             start, end, ops = self.cfg.start_end_ops
             contract = {"format": FORMAT, "table": self.table, "business_key": self.cfg.business_key, "start": start, "end": end, "operations": ops, "partition_by": parts, "file_format": self.kind, "view": view_sql(self.cfg, self.table)}
@@ -128,23 +142,30 @@ class Publisher:
         return entry
 
     def read(self) -> DataFrame:
-        """All published rows that are live."""
+        """All published rows that are live, in one scan of the parts."""
         _, _, ops = self.cfg.start_end_ops
         schema = render(self.engine._read([], self.cfg).drop("_bucket"), self.cfg).schema
         live = [self.files.at(x) for x in self._live()]
         if not live:
             return self.engine.spark.createDataFrame([], schema)
-        out = [self.engine.spark.read.format(self.kind).schema(schema).load(x) for x in live]
-        whole = out[0]
-        for x in out[1:]:
-            whole = whole.unionByName(x)
-        return whole
+        # Partition columns are in the files too, so folders' names say nothing.
+        return self.engine.spark.read.format(self.kind).schema(schema).option("recursiveFileLookup", "true").load(live)
+
+    def partitions(self) -> DataFrame:
+        """The live parts' rows by partition: as many rows as there are partitions."""
+        live, parts = set(self._live()), list(self.cfg.partition_by)
+        names = [e["partition_counts"] for e in self._log() if set(e["files"]) <= live]
+        schema = ", ".join([*[f"`{c}` {self.cfg.types[c].simpleString()}" for c in parts], "count bigint"])
+        if not names:
+            return self.engine.spark.createDataFrame([], schema)
+        return self.engine.spark.read.schema(schema).parquet(*map(self.files.at, names)).groupBy(*parts).agg(F.sum("count").alias("count"))
 
     def current(self) -> DataFrame:
         return consolidate(self.read(), self.cfg).where("_is_current")
 
     def finalize(self) -> dict:
         """All parts become one sorted log, and a materialized current table stands beside it."""
+        self._sweep()
         live, rows = self._live(), self.read()
         start = self.cfg.start_end_ops[0]
         key = list(self.cfg.business_key)

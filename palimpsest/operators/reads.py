@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.config import TableConfig
+from ..plans.config import ConfigError, TableConfig
 from .decide import DELETE
 
 
@@ -36,6 +36,11 @@ def as_of(log: DataFrame, cfg: TableConfig, valid_time, tx=None) -> DataFrame:
     return floor.where((F.col("_op") != DELETE) & (F.col("_valid_to").isNull() | (at < F.col("_valid_to"))))
 
 
+def with_current(rows: DataFrame, tx=None) -> DataFrame:
+    """as_of()'s rows with _is_current: whether the version is open, if the newest beliefs were asked for; never, if a transaction time was given."""
+    return rows.withColumn("_is_current", F.col("_valid_to").isNull() if tx is None else F.lit(False))
+
+
 def current(log: DataFrame, cfg: TableConfig) -> DataFrame:
     """Entities whose newest version is open and alive."""
     return _newest(log, list(cfg.business_key), F.struct("_valid_from", "_tx")).where((F.col("_op") != DELETE) & F.col("_valid_to").isNull())
@@ -55,20 +60,35 @@ def by_key(log: DataFrame, **key) -> DataFrame:
     return log
 
 
+def by_prefix(log: DataFrame, cfg: TableConfig, **key) -> DataFrame:
+    """The rows of all entities whose first key columns have these values."""
+    if tuple(key) != cfg.business_key[: len(key)]:
+        raise ConfigError(f"a prefix names the first of {', '.join(cfg.business_key)}, in order")
+    return by_key(log, **key)
+
+
 def many(log: DataFrame, cfg: TableConfig, keys: DataFrame) -> DataFrame:
     """A row for each of keys, with nulls where there is no current entity."""
     return keys.join(current(log, cfg), list(cfg.business_key), "left")
 
 
 def join_as_of(facts: DataFrame, log: DataFrame, cfg: TableConfig, time: Column, tx=None) -> DataFrame:
-    """facts with the version that was valid at their time; the facts' columns named like the key join to it. An equality join on the key, then a comparison of times."""
-    versions = latest(log, cfg, tx).where(F.col("_op") != DELETE).drop("_tx", "_op")
-    f = facts.withColumn("_at", time)
-    hit = (F.col("_at") >= F.col("_valid_from")) & (F.col("_valid_to").isNull() | (F.col("_at") < F.col("_valid_to")))
-    on = [f[c] == versions[c] for c in cfg.business_key]
-    for x in on:
-        hit = hit & x
-    return f.join(versions, hit, "left").drop(*[versions[c] for c in cfg.business_key]).drop("_at")
+    """facts with the version that was valid at their time; the facts' columns named like the key join to it.
+
+    Versions and facts of a key are one line in order of time, and each fact takes the last version before it: one exchange, and no pair of a fact with a version that it does not get. A fact without key or time gets none.
+    """
+    key, rest = list(cfg.business_key), [c for c in [*cfg.names, "_valid_from", "_valid_to"] if c not in cfg.business_key]
+    version = F.struct(*[F.col(c) for c in rest], F.col("_op"))
+    versions = latest(log, cfg, tx).select(*key, F.col("_valid_from").alias("_at"), version.alias("_version"))
+    line = facts.select(*[F.col(c).cast(cfg.types[c]).alias(c) for c in key], time.cast("timestamp").alias("_at"), F.struct("*").alias("_fact")).unionByName(versions, allowMissingColumns=True)
+    # A version counts from its own instant on, so it comes before facts of that instant.
+    w = Window.partitionBy(*key).orderBy(F.col("_at").asc_nulls_first(), F.col("_version").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("_met", F.last("_version", ignorenulls=True).over(w)).where("_fact is not null")
+    known = F.col("_at").isNotNull()
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    valid = known & (F.col("_met._op") != DELETE) & (F.col("_met._valid_to").isNull() | (F.col("_at") < F.col("_met._valid_to")))
+    return met.select("_fact.*", *[F.when(valid, F.col("_met").getField(c)).alias(c) for c in rest])
 
 
 def rows_containing(rows: DataFrame, text: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +15,7 @@ RAW = "raw map<string,string>, _delete boolean, _override timestamp"
 
 
 def from_frame(df: DataFrame, cfg: TableConfig, order: Column | None = None, delete: Column | None = None, override: Column | None = None, absent: Column | None = None) -> DataFrame:
-    """Typed rows to be staged: columns of the schema by name (others are left out; missing ones are absent). order: any orderable expression that is unique."""
+    """Typed rows to be staged: columns of the schema by name (others are left out; missing ones are absent). order: any orderable expression that is unique; without one rows have no order, and of rows at one instant their contents decide, however they were partitioned."""
     have = set(df.columns)
     missing = [c for c in cfg.names if c not in have]
     gone = F.array(*map(F.lit, missing)).cast("array<string>")
@@ -29,7 +27,7 @@ def from_frame(df: DataFrame, cfg: TableConfig, order: Column | None = None, del
         (override if override is not None else F.lit(None)).cast("timestamp").alias("_override"),
         gone.alias("_absent"),
         F.lit(None).cast("string").alias("_bad"),
-        (order if order is not None else F.monotonically_increasing_id()).alias("_ord"),
+        (order if order is not None else F.xxhash64(F.to_json(F.struct("*")))).alias("_ord"),
         F.lit(None).cast("map<string,string>").alias("_raw"),
     )
 
@@ -83,6 +81,3 @@ def with_effective_time(rows: DataFrame, effective_at: Column, cfg: TableConfig)
         own = F.coalesce(own, F.when(F.col(cfg.valid_time_column).isNotNull(), as_instant(F.col(cfg.valid_time_column), cfg.types[cfg.valid_time_column])))
     return rows.withColumn("_override", F.coalesce(own, effective_at))
 
-
-def same_key(a: str, b: str, key: tuple[str, ...]) -> Column:
-    return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key])

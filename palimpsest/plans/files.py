@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,23 +53,63 @@ class Files:
             stream.close()
 
     def create(self, text: str, *parts: str) -> bool:
-        """Writes a new file whole or not at all; False if it is there already."""
+        """Writes a new file whole or not at all; False if it is there already. Of two that try at once one gets it.
+
+        On a local disk the name is given by a hard link, which fails where it exists. Hadoop's own file system renames atomically and refuses an existing target. Stores of objects write conditionally, where their client can.
+        """
         path = self._path(self.at(*parts))
         self.fs.mkdirs(path.getParent())
         if self.fs.exists(path):
             return False
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "webhdfs", "viewfs"):
+            try:
+                self._write(self.fs.createFile(path).overwrite(False).opt("fs.option.create.conditional.overwrite", True).build(), text)
+                return True
+            except Py4JJavaError:
+                if self.fs.exists(path):
+                    return False
+                raise
         part = self._path(f"{path.getParent().toString()}/.{path.getName()}.{uuid.uuid4().hex}")
-        stream = self.fs.create(part, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.fs.exists(path) or not self.fs.rename(part, path):
+        self._write(self.fs.create(part, False), text)
+        try:
+            if scheme == "file":
+                nio = [self.jvm.java.io.File(self.fs.makeQualified(x).toUri().getPath()).toPath() for x in (path, part)]
+                self.jvm.java.nio.file.Files.createLink(*nio)
+                return True
+            return bool(self.fs.rename(part, path))
+        except Py4JJavaError:
+            if self.fs.exists(path):
+                return False
+            raise
+        finally:
             self.fs.delete(part, False)
-            return False
-        return True
+
+    @staticmethod
+    def _write(stream, text: str) -> None:
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
 
     def replace(self, text: str, *parts: str) -> None:
-        self.delete(*parts)
-        self.create(text, *parts)
+        """Writes a file in place of any; a reader finds the old one or the new one where the file system can rename over a file, and on a local disk always."""
+        path = self._path(self.at(*parts))
+        self.fs.mkdirs(path.getParent())
+        part = self._path(f"{path.getParent().toString()}/.{path.getName()}.{uuid.uuid4().hex}")
+        self._write(self.fs.create(part, True), text)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
+        over[0] = rename.OVERWRITE
+        context.rename(self.fs.makeQualified(part), self.fs.makeQualified(path), over)
+
+    def age(self, *parts: str) -> float:
+        """Seconds since a file was written or touched."""
+        return max(0.0, time.time() - self.fs.getFileStatus(self._path(self.at(*parts))).getModificationTime() / 1000)
+
+    def touch(self, *parts: str) -> None:
+        self.fs.setTimes(self._path(self.at(*parts)), int(time.time() * 1000), -1)
 
     def delete(self, *parts: str) -> None:
         self.fs.delete(self._path(self.at(*parts)), True)
@@ -89,11 +131,20 @@ class Files:
         return json.loads(self.read(*parts))
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new name in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session on one machine gets a folder of our own; a cluster must name one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "/tmp/checkpoints"
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df evaluated once, as a table in the folder that spark.checkpoint.dir names (a folder of our own only where that is unset); it goes when the application ends."""
+    """df evaluated once, as a table in the shared folder; it goes when the application ends."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = scratch(spark, "settled")
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

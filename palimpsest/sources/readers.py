@@ -9,13 +9,15 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import ConfigError
 
 DELETES, UPSERTS = ("delete", "d", "remove", "del"), ("", "upsert", "u", "insert", "i", "update")
 ENVELOPE = {"table", "load_id", "effective_at", "defaults", "metadata", "records"}
+#: JSON and nothing else.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 FORMATS = {".csv": "csv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json"}
 
 
@@ -61,15 +63,27 @@ def decode_ops(rows: DataFrame) -> DataFrame:
 
 
 def _order(df: DataFrame) -> DataFrame:
-    return df.withColumn("_ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    """df (with _metadata) and _ord: the file and the row's place in it, blank ones counted, however the file was split.
+
+    Spark numbers the rows of a split; how many rows the splits before hold comes from one count, a row for each split.
+    """
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    blocks = blocks.select("_file", "_block", "_first", before.alias("_before"))
+    line = F.col("_id") - F.col("_first") + F.col("_before")
+    return placed.join(blocks, ["_file", "_block"]).withColumn("_ord", F.struct(F.col("_file").alias("file"), line.alias("row"))).drop("_file", "_block", "_id", "_first", "_before")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line; blank lines are skipped, and a line that is no object is an error with its text."""
-    lines = _order(spark.read.text(path)).where(F.trim("value") != "")
-    raw = F.from_json("value", "map<string,string>")
-    checked = F.when(raw.isNull(), F.raise_error(F.concat(F.lit("not a JSON object: "), F.left("value", F.lit(200)))).cast("map<string,string>")).otherwise(raw)
-    return decode_ops(lines.select(checked.alias("raw"), "_ord"))
+    """One object a line; blank lines are skipped, and a line that is no object is an error with its number and text."""
+    lines = _order(spark.read.text(path).select("value", "_metadata")).where(F.trim("value") != "")
+    raw = F.from_json("value", "map<string,string>", STRICT)
+    # Objects within objects that are cut, and what comes after an object, show only when the line is read as the one element of an array.
+    whole = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<map<string,string>>", STRICT)
+    sound = raw.isNotNull() & (F.size(whole) == 1) & F.element_at(whole, 1).isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
+    wrong = F.raise_error(F.concat(F.lit("line "), F.col("_ord.row") + 1, F.lit(": not a JSON object: "), F.left("value", F.lit(200)))).cast("map<string,string>")
+    return decode_ops(lines.select(F.when(F.coalesce(sound, F.lit(False)), raw).otherwise(wrong).alias("raw"), "_ord"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +108,15 @@ def from_records(spark: SparkSession, records: list, defaults: dict | None = Non
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one array of objects; executors take it apart."""
-    whole = spark.read.text(path, wholetext=True)
-    return decode_ops(whole.select(F.posexplode(F.from_json("value", "array<map<string,string>>"))).select(F.col("col").alias("raw"), F.col("pos").cast("bigint").alias("_ord")))
+    """A file that is one array of objects, or a folder of such; executors take them apart. A file that is cut off, has more behind the array or an element that is no object is an error: nothing of it is rows."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    # As the one element of an array: what follows the file's own array then breaks it or is a second element.
+    outer = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<array<map<string,string>>>", STRICT | {"mode": "FAILFAST"})
+    own = whole.select("file", outer.alias("outer"), "value")
+    sound = (F.size("outer") == 1) & F.coalesce(F.forall(F.element_at("outer", 1), lambda r: r.isNotNull()), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("not one array of objects: "), F.col("file"))).cast("array<map<string,string>>")
+    checked = own.select("file", F.when(F.coalesce(sound, F.lit(False)), F.element_at("outer", 1)).otherwise(wrong).alias("rows"))
+    return decode_ops(checked.select("file", F.posexplode("rows")).select(F.col("col").alias("raw"), F.struct("file", F.col("pos").cast("bigint").alias("row")).alias("_ord")))
 
 
 def parse_document(spark: SparkSession, text: str) -> Input:
@@ -125,11 +145,13 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> Input:
         return Input({None: read_jsonl(spark, path)})
     if kind == "csv":
         return Input({None: read_csv(spark, path)})
-    head = spark.read.text(path, wholetext=True).select(F.left(F.ltrim("value"), F.lit(1))).first()
-    if head and head[0] == "[":
+    whole = spark.read.text(path, wholetext=True)
+    heads = {r["h"]: r["n"] for r in whole.groupBy(F.left(F.regexp_replace("value", r"^\s+", ""), F.lit(1)).alias("h")).agg(F.count("*").alias("n")).collect()}  # a row for each first character
+    if set(heads) == {"["}:
         return Input({None: read_array(spark, path)})
-    whole = spark.read.text(path, wholetext=True).first()
-    return parse_document(spark, whole[0] if whole else "")
+    if sum(heads.values()) > 1:
+        raise ConfigError(f"a folder of JSON files holds arrays of rows only: {path}")
+    return parse_document(spark, whole.first()[0] if heads else "")
 
 
 def read_string(spark: SparkSession, text: str, kind: str = "jsonl") -> Input:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.cli import load, main
-from palimpsest.operators.publish import Publisher
+from palimpsest.operators.publish import Publisher, consolidate
 from palimpsest.operators.stage import from_frame
 from palimpsest.plans import archive
 from palimpsest.plans.config import ConfigError, Gate, TableConfig
@@ -198,15 +198,20 @@ def test_publish(engine, tmp_path):
     done = p.finalize()
     assert (done["log_rows"], done["current_rows"]) == (6, 0) and p.files.names("data") == ["final=0000000004"]
     e.spark.range(1).write.parquet(str(tmp_path / "out/data/part=0000000099"))
-    assert Publisher(e, "dim", str(tmp_path / "out")).files.names("data") == ["final=0000000004"]
+    q = Publisher(e, "dim", str(tmp_path / "out"))
+    assert len(q.files.names("data")) == 2  # who only reads deletes nothing
+    assert q.publish() is None and q.files.names("data") == ["final=0000000004"]
     contract = p.files.json("_contract.json")
-    assert contract["start"] == "__START_AT" and "LEAD" in contract["view"]
+    assert contract["start"] == "__START_AT"
+    p.read().createOrReplaceTempView("dim")
+    names = sorted(consolidate(p.read(), p.cfg).columns)
+    assert sorted(map(str, e.spark.sql(contract["view"]).select(*names).collect())) == sorted(map(str, consolidate(p.read(), p.cfg).select(*names).collect()))
     e.create_table(TableConfig("adj", ("adj_id",), (("adj_id", "string"), ("region", "string"), ("year", "int"), ("amount", "decimal(18,2)"), ("effective", "timestamp")), ignored_columns=("effective",), valid_time_mode="source_column", valid_time_column="effective", partition_by=("region", "year")))
     a = lambda i, g, y, n: {"adj_id": i, "region": g, "year": y, "amount": n, "effective": "2024-01-01"}
     put(e, "adj", "4", [a("1", "EU", 2024, 1), a("2", "US", 2024, 1), a("3", "EU", 2025, 1), a("4", None, 2024, 1)])
     q = Publisher(e, "adj", str(tmp_path / "adj"), "json")
     entry = q.publish()
-    assert len(entry["partitions"]) == 4 and any("__HIVE_DEFAULT_PARTITION__" in n for n, _ in q.files.files("data"))
+    assert entry["partitions"] == 4 and q.partitions().count() == 4 and any("__HIVE_DEFAULT_PARTITION__" in n for n, _ in q.files.files("data"))
     put(e, "adj", "5", [a("1", "EU", 2024, 2)])
     q.publish()
     assert q.read().count() == 5 and q.current().count() == 4
@@ -287,3 +292,156 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ConfigError):
         readers.resolve_load_id("a", "b")
     assert readers.parse_key(["a=b=c"]) == {"a": "b=c"}
+
+
+def files_of(tmp_path, **texts):
+    out = []
+    for name, text in texts.items():
+        path = tmp_path / name.replace("_", ".")
+        path.write_text(text)
+        out.append(str(path))
+    return out
+
+
+@pytest.mark.parametrize("text", ['[{"id": "1"}, {"id": "2"', '[1, 2, {"id": "3"}]', '[{"id": "1"}, null]', '[{"id": "1"}] trailing', '[{"id": "1"}], [{"id": "2"}]', "[{'id': '1'}]", "", "nothing", '[{"id": "1"},]'])
+def test_a_malformed_array_changes_nothing(engine, tmp_path, text):
+    e = engine
+    e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
+    put(e, "t", "1", [{"id": str(i), "v": "a"} for i in range(5)])
+    (path,) = files_of(tmp_path, x_json=text)
+    with pytest.raises(Exception):  # noqa: B017  a ConfigError here, or Spark's error on an executor
+        load(e, readers.read(e.spark, path), "t", "2", True, None)
+    assert e.scan_current("t").count() == 5 and len(e.commits()) == 2 and e.files.names("staging") == []
+
+
+def test_a_folder_of_arrays_is_read_whole(engine, tmp_path):
+    e = engine
+    e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.json").write_text(json.dumps([{"id": f"{n}-{i}", "v": "x", "deep": {"a": [1]}} for i in range(4)]))
+    assert load(e, readers.read(e.spark, str(folder), "json"), "t", "1", False, None)["tables"]["t"]["inserts"] == 12
+    (folder / "9.json").write_text('{"table": "t", "records": []}')
+    with pytest.raises(ConfigError):
+        readers.read(e.spark, str(folder), "json")
+
+
+def test_the_same_file_split_otherwise_is_the_same_content(engine, tmp_path):
+    e, conf = engine, engine.spark.conf
+    e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
+    rows = [json.dumps({"id": f"k{i % 400}", "v": f"{i}"}) for i in range(3000)]
+    (path,) = files_of(tmp_path, x_jsonl="\n".join([*rows[:7], "", *rows[7:]]))
+    before = conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        assert readers.read_jsonl(e.spark, path).rdd.getNumPartitions() > 5
+        first = load(e, readers.read(e.spark, path), "t", "1", False, None)
+        conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        assert load(e, readers.read(e.spark, path), "t", "1", False, None) == first and first["tables"]["t"]["inserts"] == 400
+    finally:
+        conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["id"]: r["v"] for r in e.scan_current("t").collect()} == {f"k{i}": str(max(x for x in range(3000) if x % 400 == i)) for i in range(400)}
+    swapped = "\n".join([rows[400], *rows[1:400], rows[0], *rows[401:]])
+    with pytest.raises(EngineError, match="DIFFERENT"):
+        load(e, readers.read(e.spark, *files_of(tmp_path, y_jsonl=swapped)), "t", "1", False, None)
+
+
+def test_a_bad_line_is_named(engine, tmp_path):
+    for bad in ("{'id': 1}", '{"id": "1"', "[1]", '{"id": "1"} x', '"text"'):
+        (path,) = files_of(tmp_path, x_jsonl='{"id": "0"}\n\n' + bad + "\n")
+        with pytest.raises(Exception, match="line 3"):
+            readers.read_jsonl(engine.spark, path).collect()
+
+
+def test_buckets_belong_to_the_database(spark, tmp_path):
+    cfg = TableConfig("t", ("id",), (("id", "long"), ("v", "string")))
+    rows = lambda v: from_frame(spark.range(40).select("id", F.lit(v).alias("v")), cfg, F.col("id"))
+    with Engine(spark, str(tmp_path / "db"), Options(buckets=8)) as e:
+        e.create_table(cfg)
+        e.apply("1", [Batch("t", rows("a"))])
+    with Engine(spark, str(tmp_path / "db")) as e:
+        one = from_frame(spark.range(3, 4).select("id", F.lit("a").alias("v")), cfg, F.col("id"))
+        assert numbers(e.apply("2", [Batch("t", one)])["tables"]["t"], "no_ops", "inserts") == (1, 0)
+        assert e.compact("t", 5)["buckets"] == {"t": 5}
+        assert numbers(e.apply("3", [Batch("t", rows("a"))])["tables"]["t"], "no_ops", "inserts") == (40, 0) and e.scan_current("t").count() == 40
+        assert len([n for n, _ in e.files.files("tables") if n.endswith(".parquet")]) > 8
+
+
+def test_a_lock_goes_with_its_holder(spark, tmp_path):
+    import subprocess
+
+    path = str(tmp_path / "db")
+    e = Engine(spark, path)
+    with pytest.raises(EngineError, match="elsewhere"):
+        Engine(spark, path)
+    ended = subprocess.Popen(["true"])
+    ended.wait()
+    dead = ended.pid
+    e.files.replace(json.dumps(json.loads(e.token) | {"pid": dead}), "LOCK")  # as a killed process leaves it
+    with Engine(spark, path) as after:
+        after.create_table(TableConfig("t", ("id",), (("id", "long"),)))
+        with pytest.raises(EngineError, match="lock"):
+            e.create_table(TableConfig("u", ("id",), (("id", "long"),)))
+    other = Engine(spark, path)
+    other.files.replace(json.dumps(json.loads(other.token) | {"host": "another", "pid": 1}), "LOCK")
+    with pytest.raises(EngineError):
+        Engine(spark, path)
+    other.files.fs.setTimes(other.files._path(other.files.at("LOCK")), 1000, -1)  # nobody has touched it for long
+    Engine(spark, path).close()
+    assert main(["--db", path, "unlock"], spark) == 0 and not other.files.exists("LOCK")
+
+
+def test_a_long_log_opens_with_few_reads(spark, tmp_path, monkeypatch):
+    from palimpsest.plans import store
+    from palimpsest.plans.files import Files
+
+    monkeypatch.setattr(store, "CHECKPOINT", 10)
+    with Engine(spark, str(tmp_path / "db")) as e:
+        for n in range(57):
+            e.create_table(TableConfig(f"t{n}", ("id",), (("id", "long"),)))
+    reads, real = [], Files.read
+    monkeypatch.setattr(Files, "read", lambda self, *parts: reads.append(parts) or real(self, *parts))
+    e = Engine(spark, str(tmp_path / "db"), read_only=True)
+    assert len(e.commits()) == 57 and len(reads) == 8 and len(e.commits()) == 57 and len(reads) == 8
+    e.files.replace(real(e.files, "_commit_log", f"{57:020d}.json").replace('"long"', '"int"'), "_commit_log", f"{57:020d}.json")
+    with pytest.raises(EngineError, match="damaged"):
+        Engine(spark, str(tmp_path / "db"), read_only=True).commits()
+
+
+def test_only_one_of_many_creates_a_file(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from palimpsest.plans.files import Files
+
+    files = Files(spark, str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(10):
+            assert sum(pool.map(lambda k, n=n: files.create(str(k), f"f{n}"), range(8))) == 1
+    files.replace("new", "f0")
+    assert files.read("f0") == "new" and [n for n in files.names() if n.startswith(".") and not n.endswith(".crc")] == []
+
+
+def test_partitions_are_counted_whatever_their_number(engine, tmp_path):
+    e = engine
+    cfg = TableConfig("p", ("id",), (("id", "long"), ("part", "int"), ("at", "timestamp")), ignored_columns=("at",), valid_time_mode="source_column", valid_time_column="at", partition_by=("part",))
+    e.create_table(cfg)
+    rows = e.spark.range(10_200).select("id", F.col("id").cast("int").alias("part"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    e.apply("1", [Batch("p", from_frame(rows, cfg, F.col("id")))])
+    p = Publisher(e, "p", str(tmp_path / "p"))
+    entry = p.publish()
+    assert (entry["partitions"], entry["rows"]) == (10_200, 10_200) and p.partitions().count() == 10_200
+
+
+def test_as_of_flags_and_prefixes(engine):
+    e = engine
+    e.create_table(TableConfig("pos", ("a", "b"), (("a", "string"), ("b", "string"), ("q", "long"), ("eff", "timestamp")), valid_time_mode="source_column", valid_time_column="eff"))
+    p = lambda a, b, q, t: {"a": a, "b": b, "q": q, "eff": t}
+    put(e, "pos", "1", [p("x", "1", 1, "2024-01-01"), p("x", "2", 1, "2024-01-01"), p("y", "1", 1, "2024-01-01"), p("x", "1", 2, "2024-02-01")])
+    tx = e.commits()[-1]["tx_time"]
+    flag = lambda t, *more: e.get_as_of("pos", t, *more, a="x", b="1")["_is_current"]
+    assert (flag("2024-01-15"), flag("2024-03-01"), flag("2024-03-01", tx)) == (False, True, False)
+    assert [(r.a, r.b, r.q) for r in e.scan_prefix("pos", a="x").collect()] == [("x", "1", 2), ("x", "2", 1)]
+    assert [r.q for r in e.scan_prefix("pos", "2024-01-15", a="x").collect()] == [1, 1]
+    with pytest.raises(ConfigError):
+        e.scan_prefix("pos", b="1")
