@@ -120,9 +120,7 @@ def run(args: argparse.Namespace, spark: SparkSession | None = None):
             case "scan":
                 df = e.scan_as_of(args.table, args.valid, args.tx) if args.valid else e.scan_current(args.table)
                 if args.out:
-                    if args.format == "csv":
-                        df = df.select(*e.config(args.table).names, "_valid_from")
-                    df.write.format(args.format).option("header", "true").save(args.out)
+                    e.export(df, args.table, args.out, args.format)
                     return {"out": args.out}
                 return (r.asDict(recursive=True) for r in df.toLocalIterator())
             case "publish":

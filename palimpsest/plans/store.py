@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.coerce import render
 from ..operators import decide as d
 from ..operators import reads
 from ..operators.stage import stage, with_effective_time
@@ -470,6 +471,18 @@ class Engine:
         found = reads.current(own, cfg) if valid_time is None else reads.as_of(own, cfg, valid_time)
         return found.orderBy(*cfg.business_key)
 
+    def export(self, rows: DataFrame, table: str, to: str, kind: str = "json") -> None:
+        """rows of a table as files: parquet as they are, JSON Lines with values in their printed form, CSV with the schema's columns and _valid_from."""
+        if kind != "parquet":
+            rows = rows.select(*[render(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields])
+        if kind == "csv":
+            cfg = self.config(table)
+            nested = T.ArrayType | T.MapType | T.StructType
+            rows = rows.select(*[F.to_json(c).alias(c) if isinstance(cfg.types[c], nested) else F.col(c) for c in cfg.names], "_valid_from")
+            rows.write.option("header", "true").option("escape", '"').csv(to)
+        else:
+            rows.write.format(kind).save(to)
+
     def manifest(self, load_id: str) -> dict | None:
         return next((c for c in self.commits() if c.get("load_id") == load_id), None)
 
