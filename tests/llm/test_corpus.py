@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.dataset as ds
@@ -200,6 +202,62 @@ def test_training_goes_on_until_it_has_settled(spark, monkeypatch):
     assert settled > two + hmm.GAIN and more - settled < 2 * hmm.GAIN
 
 
+def plain_training(docs, rounds):
+    """Baum-Welch and the score of each text, a word at a time, from hmm.Start's model."""
+    k = hmm.STATES
+    texts = {i: (t or "").encode().lower().split() for i, t in docs}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != hmm.HELD_OUT]
+    counts = Counter(w for i in train for w in texts[i])
+    order = sorted(counts)
+    start = hmm.Start([t.encode() for i, t in docs if i in set(train)])
+    shares, chain = dict(zip(order, start.of(order), strict=True)), start.chain
+
+    def walk(words, chain, emit):
+        alpha, scale, e = [], [], [emit[w] for w in words] + [emit[None]]
+        for t, x in enumerate(e):
+            a = (chain.start if not t else alpha[-1] @ chain.go) * x
+            scale.append(a.sum())
+            alpha.append(a / a.sum())
+        return alpha, scale, e
+
+    mass, n_texts = chain.mass, len(train)
+    for _ in range(rounds):
+        emit = {w: s / mass for w, s in shares.items()} | {None: chain.end / mass}
+        seen, moves, begins = {w: np.zeros(k) for w in [*order, None]}, np.zeros((k, k)), np.zeros(k)
+        for i in train:
+            alpha, scale, e = walk(texts[i], chain, emit)
+            beta = [np.ones(k)]
+            for t in range(len(e) - 2, -1, -1):
+                beta.insert(0, chain.go @ (e[t + 1] * beta[0]) / scale[t + 1])
+            for t, w in enumerate([*texts[i], None]):
+                seen[w] += alpha[t] * beta[t]
+                if t:
+                    moves += np.outer(alpha[t - 1], e[t] * beta[t]) * chain.go / scale[t]
+            begins += alpha[0] * beta[0]
+        shares = {w: (seen[w] + hmm.SMOOTH / k) / (seen[w].sum() + hmm.SMOOTH) for w in order}
+        first, go, end = begins + 1, moves + 1, seen[None] + 1
+        first, go, end = first / first.sum(), go / go.sum(1, keepdims=True), end / end.sum()
+        known = sum(shares[w] * (counts[w] + 1) for w in order)
+        rest = known / known.sum()
+        mass = known + end * (n_texts + 1) + rest
+        chain = hmm.Chain(first, go, rest, end, mass)
+    emit = {w: s * (counts[w] + 1) / mass for w, s in shares.items()} | {None: chain.end * (n_texts + 1) / mass}
+    return {i: sum(np.log10(walk(t, chain, {w: emit.get(w, chain.rest / mass) for w in t} | {None: emit[None]})[1])) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_training_and_scores_equal_a_plain_version(spark, write, monkeypatch, rounds):
+    monkeypatch.setattr(hmm, "GAIN", -1.0)
+    monkeypatch.setattr(hmm, "SEGMENT", 16)
+    rng = random.Random(11)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in ("ab", "cd", "ef")]
+    docs = [(i, " ".join(rng.choice(kinds[(i + (j > 20)) % 3]) for j in range(rng.randrange(60)))) for i in range(90)] + [(500, "")]
+    frame = spark.read.parquet(write(documents=docs) + "/documents.parquet").select("doc_id", "text").repartition(4)
+    got = {r.doc_id: r.score for r in hmm.score(frame, rounds=rounds).collect()}
+    want = plain_training(docs, rounds)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(w, abs=0.02 + 2e-4 * abs(w)) for i, w in want.items())
+
+
 def test_a_trained_start_only_saves_rounds(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     total = lambda: hmm.score(docs).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
