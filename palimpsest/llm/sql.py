@@ -1,6 +1,7 @@
 """DuckDB SQL that says what a query returns, in full, over its whole tables.
 
-op4 goes all its rounds by recursion over one table of weights, in which the teleport is a host without name. op1's edits, op2's and op8's tokenisers, op3's states, op6's checksums, op7's sample and op9's trees are
+op4 goes all its rounds by recursion over one table of weights, in which the teleport is a host without name. op1's says which items are in a text verbatim, which in the test tables are all leaks; leaks with edits are beyond SQL and
+tested against edit distances. op2's and op8's tokenisers, op3's states, op6's checksums, op7's sample and op9's trees are
 beyond SQL: those queries are tested against brute force in tests/llm.
 """
 
@@ -54,6 +55,13 @@ bad AS (
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
 
+_NORMAL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+
+OP1 = rf"""
+WITH docs AS (SELECT doc_id, {_NORMAL} AS t FROM documents), items AS (SELECT item_id, {_NORMAL} AS i FROM benchmark)
+SELECT doc_id, item_id, CAST(strpos(t, i) - 1 AS BIGINT) AS start, CAST(0 AS BIGINT) AS edits, true AS contaminated, false AS kept FROM docs JOIN items ON i <> '' AND contains(t, i)
+"""
+
 OP5 = r"""
 WITH words AS (
   SELECT doc_id, coalesce(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents),
@@ -88,4 +96,4 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS comp
 FROM documents d JOIN reached ON reached.a = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op4_url_filter": OP4, "op5_substring": OP5, "op10_near_dedup": OP10}
+ORACLE_SQL = {"op1_decontamination": OP1, "op4_url_filter": OP4, "op5_substring": OP5, "op10_near_dedup": OP10}

@@ -288,7 +288,7 @@ def test_language_model_beats_unigrams_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) and sum(r.score > r.base_score for r in rows) > 0.8 * len(rows)
 
 
-@pytest.mark.parametrize("name", ["op4_url_filter", "op5_substring", "op10_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op4_url_filter", "op5_substring", "op10_near_dedup"])
 def test_query_equals_sql(spark, name):
     d = "/root/testdata/sf0.001"
     assert rows_of_spark(entry.queries()[name](spark, d)) == rows_of_sql(entry.oracle_sql()[name], d)
