@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .engine_queries import COUNTS
+from .engine_queries import COUNTS, CUSTOMERS, PLACES, SUPPLIERS
 from .oracles import ALIVE, CHAIN, CURRENT, FINAL, GATES, ORACLE_SQL as ALGEBRA, ORDER_COLUMNS, _asof, _lines, _newest, _orders, _periods, chain, orders
 from .queries import AS_OF
 
@@ -57,4 +57,20 @@ ORACLE_SQL = {
     "engine_export": f"{_THREE} SELECT o_custkey, o_orderstatus, o_orderpriority, strftime(valid_from, '%Y-%m-%dT%H:%M:%S.%fZ') AS valid_from, op FROM ({_NOW})",
     "engine_hooks": "SELECT CAST(txn AS BIGINT) AS txn, type, load_id FROM (VALUES (2, 'data', 'b0'), (3, 'data', 'b1'), (4, 'compact', NULL)) v(txn, type, load_id)",
     "engine_files": "SELECT 'txn=0000000000000000000' || n AS name FROM (VALUES (2), (3)) v(n)",
+    "engine_types": "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance, c_name AS code, day, TIMESTAMP '2001-02-03 03:05:00' + to_seconds(c_custkey % 60) AS seen, c_custkey % 2 = 0 AS good, CAST(c_custkey % 100 AS INT) AS small, "
+    "c_mktsegment AS tag, c_name AS city, CAST(c_custkey % 7 AS INT) AS nr, c_custkey AS most FROM (SELECT *, DATE '1997-01-01' + CAST(c_custkey % 1000 AS INT) AS day FROM customer) WHERE day - DATE '1970-01-01' BETWEEN 10000 AND 10500",
+    "engine_null_keys": "SELECT s_nationkey, s_suppkey, s_name, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0 OR length(s_name) <= 3) AS rejects FROM supplier WHERE s_suppkey % 3 <> 0 AND length(s_name) > 3",
+    "engine_load_ids": "SELECT numeric, id, CASE WHEN trim(id) = '' OR id = repeat('x', 20) THEN false ELSE NOT numeric OR id IN ('17', '9223372036854775807') END AS taken FROM (VALUES (true), (false)) n(numeric), "
+    "(VALUES ('abc'), ('run-1'), ('-5'), ('0'), ('1.5'), ('99999999999999999999'), (''), (' '), ('17'), ('9223372036854775807'), (repeat('x', 20))) v(id)",
+    "engine_formats": "SELECT kind, n_nationkey, n_name, n_regionkey, 'INSERT' AS op FROM nation, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) v(kind)",
+    "engine_csv_quotes": "SELECT c_custkey, c_name || ', \"quoted\"' || chr(10) || c_mktsegment || ' é' AS name FROM customer",
+    "engine_failed_batch": "SELECT count(*) AS n, 'refused,done,refused' AS said, CAST(3 AS BIGINT) AS commits, CAST(0 AS BIGINT) AS left FROM customer",
+    "engine_described": "SELECT * FROM (VALUES " + ", ".join(f"('{t.table}', '{n}', '{kind}', {n in t.business_key})" for t in (CUSTOMERS, SUPPLIERS, *PLACES) for n, kind in t.columns) + ") v(t, name, kind, is_key)",
+    "engine_stats": f"{_THREE}, counts AS (" + " UNION ALL ".join(_manifest(n) for n in (1, 2, 3)) + ") SELECT CAST(4 AS BIGINT) AS transactions, CAST(1 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS lag, "
+    "CAST(sum(rows_in) AS BIGINT) AS rows_in, CAST(sum(inserts) AS BIGINT) AS inserts, CAST(sum(updates) AS BIGINT) AS updates FROM counts",
+    "engine_snapshot_copy": f"{orders(2)} SELECT *, CAST(0 AS BIGINT) AS there FROM ({_NOW})",
+    "engine_stream_twice": "SELECT count(DISTINCT o_custkey) AS current_rows, count(*) AS rows_in, CAST(2 AS BIGINT) AS transactions FROM orders",
+    "engine_change_stream": f"{_THREE} SELECT {CHAIN}, tx FROM log",
+    "engine_commands": "SELECT * FROM (VALUES ('apply', 0, (SELECT CAST(count(*) AS VARCHAR) FROM nation)), ('again', 0, '2'), ('get', 0, (SELECT n_name FROM nation WHERE n_nationkey = 3)), ('none', 0, NULL), ('history', 0, '1'), "
+    "('bad key', 2, NULL), ('other table', 1, NULL), ('scan', 0, (SELECT CAST(count(*) AS VARCHAR) FROM nation)), ('list', 0, 'nation'), ('compact', 0, 'compact')) v(command, code, answer)",
 }

@@ -8,15 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..cli import load
 from ..operators import reads
 from ..operators.intervals import from_intervals
 from ..operators.publish import Publisher
 from ..operators.stage import from_frame, from_raw
 from ..sources import readers
-from ..streaming.feed import apply_stream, change_feed
+from ..streaming.feed import apply_stream, change_feed, change_stream
 from . import archive
-from .config import Gate, TableConfig
+from .config import ConfigError, Gate, TableConfig, from_yaml
 from .files import Files, scratch
 from .queries import AS_OF, GATED, LINES, ORDERS, PERIODS, _chain, _plain, _table, _with
 from .store import Batch, Engine, EngineError, Options
@@ -377,11 +378,202 @@ def engine_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([(n,) for n in files.names("tables", ORDERS.table, "versions") + files.names("staging")], "name string")
 
 
+TYPES = """
+table: typed
+business_key: c_custkey
+schema:
+  - {name: c_custkey, type: bigint}
+  - {name: balance, type: "decimal(18,4)"}
+  - {name: code, type: bytes}
+  - {name: day, type: date}
+  - {name: seen, type: timestamp}
+  - {name: good, type: boolean}
+  - {name: small, type: smallint}
+  - {name: tags, type: "array<string>"}
+  - {name: place, type: "struct<city:string,nr:int>"}
+  - {name: limits, type: "map<string,bigint>"}
+quality_gates:
+  - {column: day, rule: "between 10000 and 10500"}
+"""
+
+
+def engine_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declaration in YAML, values as text of every kind, and a gate over days since 1970."""
+    cfg = from_yaml(TYPES)
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    values = {
+        "c_custkey": text(k), "balance": text(F.col("c_acctbal").cast("decimal(18,2)")), "code": F.base64(F.col("c_name").cast("binary")), "day": text(F.date_add(F.lit("1997-01-01").cast("date"), (k % 1000).cast("int"))),
+        "seen": F.concat(F.lit("2001-02-03T04:05:"), F.lpad(text(k % 60), 2, "0"), F.lit("+01:00")), "good": F.when(k % 2 == 0, "yes").otherwise("0"), "small": F.concat(text(k % 100), F.lit(".0")),
+        "tags": F.to_json(F.array("c_mktsegment", F.lit("x"))), "place": F.to_json(F.struct(F.col("c_name").alias("city"), (k % 7).cast("int").alias("nr"))), "limits": F.to_json(F.create_map("c_mktsegment", k)),
+    }
+    raw = _table(spark, sf_dir, "customer").select(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]).alias("raw"), F.lit(False).alias("_delete"), F.lit(None).cast("timestamp").alias("_override"), k.alias("_ord"))
+    with _database(spark, cfg) as e:
+        e.apply("1", [Batch("typed", from_raw(raw, cfg))])
+        back = e.scan_current("typed").select(
+            "c_custkey", F.col("balance").cast("double").alias("balance"), F.col("code").cast("string").alias("code"), "day", "seen", "good", F.col("small").cast("int").alias("small"),
+            F.element_at("tags", 1).alias("tag"), "place.city", "place.nr", F.element_at("limits", F.element_at("tags", 1)).alias("most"),
+        )
+        return _plain(back)
+
+
+def engine_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = TableConfig("keys", ("s_nationkey", "s_suppkey"), (("s_nationkey", "int"), ("s_suppkey", "long"), ("s_name", "string")))
+    with _database(spark, cfg) as e:
+        s = _table(spark, sf_dir, "supplier").withColumn("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey"))).withColumn("s_nationkey", F.when(F.length("s_name") > 3, F.col("s_nationkey")))
+        n = e.apply("1", [Batch("keys", from_frame(s, cfg, F.xxhash64("s_name")))])["tables"]["keys"]
+        return e.scan_current("keys").select("s_nationkey", "s_suppkey", "s_name", F.lit(n["rejects"]).cast("bigint").alias("rejects"))
+
+
+def engine_load_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which load ids are taken, in numeric mode and otherwise; nothing is applied for the others."""
+    tried = ["abc", "run-1", "-5", "0", "1.5", "99999999999999999999", "", " ", "17", "9223372036854775807", "x" * 513]
+    out, small = [], TableConfig("t", ("id",), (("id", "long"),))
+    with _database(spark, small) as e:
+        path = e.files.root
+    for numeric in (True, False):
+        with Engine(spark, path, Options(numeric_load_ids=numeric)) as e:
+            for i in tried:
+                try:
+                    e._check_load_id(i)
+                    out.append((numeric, i[:20], True))
+                except ConfigError:
+                    out.append((numeric, i[:20], False))
+    return spark.createDataFrame(out, "numeric boolean, id string, taken boolean")
+
+
+def engine_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows published as Parquet, ORC, JSON and CSV parts, in folders by region."""
+    cfg = TableConfig("nations", ("n_nationkey",), (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")), partition_by=("n_regionkey",))
+    out = None
+    with _database(spark, cfg) as e:
+        e.apply("1", [Batch("nations", from_frame(_table(spark, sf_dir, "nation"), cfg, F.col("n_nationkey")))])
+        for kind in ("parquet", "orc", "json", "csv"):
+            p = Publisher(e, "nations", scratch(spark, kind), kind)
+            p.publish()
+            rows = p.current().select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey", F.col("_op").alias("op"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def engine_csv_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commas, quotes and line breaks go out as CSV and come back."""
+    odd = F.concat(F.col("c_name"), F.lit(', "quoted"\n'), F.col("c_mktsegment"), F.lit(" é"))
+    cfg, to = TableConfig("odd", ("c_custkey",), (("c_custkey", "long"), ("name", "string"))), scratch(spark, "odd")
+    with _database(spark, cfg) as e:
+        e.apply("1", [Batch("odd", from_frame(_table(spark, sf_dir, "customer").withColumn("name", odd), cfg, F.col("c_custkey")))])
+        e.export(e.scan_current("odd"), "odd", to, "csv")
+    with _database(spark, cfg) as e:
+        load(e, readers.read(spark, to, "csv"), "odd", "back", False, None)
+        return e.scan_current("odd").select("c_custkey", "name")
+
+
+def engine_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with a failing row leaves no trace; a second bulk load of a table is refused."""
+    cfg, said = _with(GATED, on_row_error="fail_batch"), []
+    customer = _table(spark, sf_dir, "customer")
+    with _database(spark, cfg, CUSTOMERS) as e:
+        tries = [lambda: e.apply("1", [Batch("customer", from_frame(customer, cfg, F.col("c_custkey")))])]
+        tries += [lambda n=n: e.backfill(n, "customers", from_frame(customer, CUSTOMERS, F.col("c_custkey"))) for n in ("2", "3")]
+        for t in tries:
+            try:
+                t()
+                said.append("done")
+            except EngineError:
+                said.append("refused")
+        left = e.files.names("staging")
+        return e.scan_current("customers").agg(F.count("*").alias("n")).select("n", F.lit(",".join(said)).alias("said"), F.lit(len(e.commits())).cast("bigint").alias("commits"), F.lit(len(left)).cast("bigint").alias("left"))
+
+
+def engine_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with _database(spark, CUSTOMERS, SUPPLIERS, *PLACES) as e:
+        rows = [(t, n, kind, n in c.business_key) for t, c in e.tables().items() for n, kind in c.columns]
+        return spark.createDataFrame(rows, "t string, name string, kind string, is_key boolean")
+
+
+def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters over all transactions, and how many of them publication is behind."""
+    cfg = _with(ORDERS, publish_location=scratch(spark, "lag"))
+    with _loaded(spark, sf_dir, 3, cfg, after=lambda e: Publisher(e, cfg.table).publish() if len(e.commits()) == 2 else None) as e:
+        t = e.stats()
+        return spark.createDataFrame([(t["transactions"], t["tables"], t["publish_lag"][cfg.table], t["rows_in"], t["inserts"], t["updates"])], "transactions bigint, tables bigint, lag bigint, rows_in bigint, inserts bigint, updates bigint")
+
+
+def engine_snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy in a new place is a database of its own: a transaction there changes it alone."""
+    with _loaded(spark, sf_dir, 2) as e:
+        to, back = scratch(spark, "copy"), scratch(spark, "copied")
+        archive.snapshot(e, to)
+        archive.vacuum(e)
+        archive.restore(spark, to, back)
+        with Engine(spark, back) as other:
+            gone = from_frame(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit("2031-01-01").cast("timestamp").alias("o_orderdate")), ORDERS, F.col("o_custkey"), F.lit(True))
+            other.apply("gone", [Batch(ORDERS.table, gone)])
+            there = other.scan_current(ORDERS.table).count()
+        return _rows(e.scan_current(ORDERS.table)).withColumn("there", F.lit(there).cast("bigint"))
+
+
+def engine_stream_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is started again goes on where it stopped; its receipts and versions are those of one run."""
+    path, check = scratch(spark, "again"), scratch(spark, "again-checkpoint")
+    lines = _raw_orders(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    rows = lambda df, cfg: from_raw(readers.decode_ops(df.select(F.from_json("value", "map<string,string>").alias("raw"), F.xxhash64("value").alias("_ord"))), cfg)
+    with _database(spark, ORDERS) as e:
+        for n in range(2):
+            lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == n).write.mode("append").text(path)
+            for _ in range(2):
+                apply_stream(e, ORDERS.table, spark.readStream.text(path), rows, check, "again").awaitTermination()
+        total = sum(c["tables"][ORDERS.table]["rows_in"] for c in e.manifests())
+        return e.scan_current(ORDERS.table).agg(F.count("*").alias("current_rows")).select("current_rows", F.lit(total).cast("bigint").alias("rows_in"), F.lit(len(e.manifests())).cast("bigint").alias("transactions"))
+
+
+def engine_change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions as a stream out of the database, each once, past a compaction."""
+    to, check = scratch(spark, "changes"), scratch(spark, "changes-checkpoint")
+    with _loaded(spark, sf_dir) as e:
+        for again in range(2):
+            if again:
+                e.compact(ORDERS.table)
+            change_stream(spark, e, ORDERS.table).writeStream.format("parquet").option("checkpointLocation", check).option("path", to).trigger(availableNow=True).start().awaitTermination()
+        out = spark.read.parquet(to)
+    return _rows(out, "tx")
+
+
+def engine_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over one database: what each command answers about nation 3, and its exit code."""
+    db, where = scratch(spark, "commands"), scratch(spark, "commands-in")
+    _table(spark, sf_dir, "nation").coalesce(1).write.json(where)
+    out = []
+
+    def say(what: str, *args: str, read=lambda x: None) -> None:
+        try:
+            code, found = 0, cli.run(cli.parser().parse_args(["--db", db, *args]), spark)
+        except ConfigError:
+            code, found = 2, None
+        except EngineError:
+            code, found = 1, None
+        out.append((what, code, None if found is None else read(found)))
+
+    with Engine(spark, db) as e:
+        e.create_table(PLACES[0])
+    say("apply", "apply", where, "--table", "nation", "--format", "jsonl", "--load-id", "1", read=lambda x: str(x["tables"]["nation"]["inserts"]))
+    say("again", "apply", where, "--table", "nation", "--format", "jsonl", "--load-id", "1", read=lambda x: str(x["txn_id"]))
+    say("get", "get", "nation", "n_nationkey=3", read=lambda x: x["n_name"])
+    say("none", "get", "nation", "n_nationkey=999")
+    say("history", "history", "nation", "n_nationkey=3", read=lambda x: str(len(x)))
+    say("bad key", "get", "nation", "n_nationkey")
+    say("other table", "get", "elsewhere", "n_nationkey=3")
+    say("scan", "scan", "nation", read=lambda x: str(len(list(x))))
+    say("list", "table", "list", read=lambda x: ",".join(x))
+    say("compact", "compact", "nation", read=lambda x: x["type"])
+    return spark.createDataFrame(out, "command string, code int, answer string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         engine_jsonl, engine_csv, engine_json_arrays, engine_document, engine_envelope, engine_history, engine_current, engine_asof, engine_compacted, engine_manifests, engine_replay, engine_multi_table,
         engine_skipped, engine_quarantined, engine_reapplied, engine_late_quarantine, engine_grown, engine_snapshots, engine_intervals, engine_published, engine_finalized, engine_partitions, engine_view,
         engine_restored, engine_changes, engine_stream, engine_verified, engine_prefix, engine_points, engine_export, engine_hooks, engine_files,
+        engine_types, engine_null_keys, engine_load_ids, engine_formats, engine_csv_quotes, engine_failed_batch, engine_described, engine_stats, engine_snapshot_copy, engine_stream_twice, engine_change_stream, engine_commands,
     )
 }
