@@ -13,7 +13,7 @@ Each row is judged alone: repeated rows get equal results. Very long texts are m
 
 from __future__ import annotations
 
-import base64
+import functools
 import os
 import re
 
@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encoding
 from .common import add_columns
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -50,12 +51,8 @@ FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken"):
-    import public_tokenizers
-    import tiktoken
-
-    with open(_path(name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    """A byte-level vocabulary, read once a worker; encoding uses the same."""
+    return encoding(name)
 
 
 def _path(name: str) -> str:
@@ -134,6 +131,12 @@ class Fertility:
         return flat, n, m, _sums(byte, np.concatenate([[0], np.cumsum(m)]))
 
 
+@functools.cache
+def fertility() -> Fertility:
+    """Both vocabularies, once a worker and not once a task."""
+    return Fertility()
+
+
 def entropy_share(flat: np.ndarray, starts: np.ndarray, words: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
     """For each text the mean, over all its tokens' windows, of a window's entropy over the logarithm of its length; 1 for a single token."""
     out = np.ones(len(word_starts) - 1)
@@ -197,10 +200,8 @@ def measure_texts(texts: list[bytes], langs: list[str | None], fertility: Fertil
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", bands: dict = BANDS) -> DataFrame:
     """docs with FIELDS."""
 
-    def make(texts, langs, held=[]):  # noqa: B006  the vocabularies are read once a task
-        if not held:
-            held.append(Fertility())
-        return measure_texts(texts.to_pylist(), langs.to_pylist(), held[0], bands)
+    def make(texts, langs):
+        return measure_texts(texts.to_pylist(), langs.to_pylist(), fertility(), bands)
 
     return add_columns(docs, FIELDS, make, text, (lang,))
 
