@@ -9,20 +9,20 @@ from palimpsest.plans.runid import RunIds, parts
 from palimpsest.plans.types import declaration, parse_type
 
 YAML = """
-table: customer
-business_key: customer_id
+table: vessel
+business_key: hull_no
 schema:
-  - {name: customer_id, type: string}
+  - {name: hull_no, type: string}
   - {name: name, type: string}
-  - {name: risk_score, type: double}
-  - {name: exposure, type: 'decimal(18,4)'}
-  - {name: segment, type: string}
-  - {name: updated_at, type: timestamp}
-ignored_columns: [updated_at]
-valid_time: {mode: source_column, column: updated_at}
+  - {name: draught, type: double}
+  - {name: tonnage, type: 'decimal(18,4)'}
+  - {name: flag, type: string}
+  - {name: surveyed, type: timestamp}
+ignored_columns: [surveyed]
+valid_time: {mode: source_column, column: surveyed}
 quality_gates:
-  - {column: customer_id, rule: not_null}
-  - {column: segment, rule: 'in (RETAIL, SME, CORP, PRIVATE)'}
+  - {column: hull_no, rule: not_null}
+  - {column: flag, rule: 'in (DK, NO, SE)'}
 """
 
 
@@ -39,9 +39,9 @@ def test_types_refused(text):
 
 def test_yaml():
     cfg = from_yaml(YAML)
-    assert cfg.tracked == ["name", "risk_score", "exposure", "segment"]
+    assert cfg.tracked == ["name", "draught", "tonnage", "flag"]
     assert TableConfig.from_dict(cfg.to_dict()) == cfg and TableConfig.from_dict(cfg.to_dict()).hash == cfg.hash
-    for bad in (YAML + "table: again\n", YAML.replace("not_null", "is nice"), YAML.replace("customer_id\n", "nobody\n", 1), YAML + "colour: red\n", YAML.replace("column: updated_at", "column: name"), YAML + "schema_version: 2\n", YAML.replace("name: name", "name: _name")):
+    for bad in (YAML + "table: again\n", YAML.replace("not_null", "is nice"), YAML.replace("hull_no\n", "nobody\n", 1), YAML + "colour: red\n", YAML.replace("column: surveyed", "column: name"), YAML + "schema_version: 2\n", YAML.replace("name: name", "name: _name")):
         with pytest.raises(ConfigError):
             from_yaml(bad)
 
@@ -50,7 +50,7 @@ def test_alter_only_adds_at_the_end():
     cfg = from_yaml(YAML)
     more = from_yaml(YAML.replace("ignored_columns", "  - {name: country, type: string}\nignored_columns"))
     assert altered(cfg, more).schema_version == 2
-    for bad in (YAML.replace("name: risk_score, type: double", "name: risk_score, type: string"), YAML.replace("business_key: customer_id", "business_key: name"), YAML.replace("  - {name: exposure, type: 'decimal(18,4)'}\n", "")):
+    for bad in (YAML.replace("name: draught, type: double", "name: draught, type: string"), YAML.replace("business_key: hull_no", "business_key: name"), YAML.replace("  - {name: tonnage, type: 'decimal(18,4)'}\n", "")):
         with pytest.raises(ConfigError):
             altered(cfg, from_yaml(bad))
 
