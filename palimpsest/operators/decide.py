@@ -1,8 +1,8 @@
 """The decision of what a batch changes: one pass of windows over each entity's stored and pending rows, no user-defined functions.
 
-Stored rows are the latest belief of each (key, valid time). The state after an instant depends on what happens at that instant alone, so every question that a row-by-row fold would ask of the chain (is
-the predecessor alive, does its payload equal mine, what do absent columns inherit) is a lag or a running last over the entity's rows in order of valid time. Both windows and the merge use one
-exchange by business key.
+Of stored rows the latest belief of each (key, valid time) counts. The state after an instant depends on what happens at that instant alone, so every question that a row-by-row fold would ask of the
+chain (is the predecessor alive, does its payload equal mine, what do absent columns inherit) is a lag or a running last over the entity's rows in order of valid time. All windows and the merge use one
+exchange and one sort, by business key and time.
 """
 
 from __future__ import annotations
@@ -26,41 +26,51 @@ class Decision(NamedTuple):
 
 
 def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig) -> Decision:
-    """state: schema columns, _valid_from, _valid_to, _op: the latest beliefs of the keys that pending names (of others it may hold any or none).
+    """state: schema columns, _valid_from, _valid_to, _op: the beliefs of the keys that pending names (of others it may hold any or none); with _tx the newest of a key and valid time counts, without it there is one.
     pending: sound staged rows: schema columns, _valid_from, _delete, _absent, _ord."""
     key, payload, kinds = list(cfg.business_key), cfg.payload, cfg.types
     fields = [F.col(c) for c in payload]
-    stored = F.struct(*fields, F.col("_valid_to").alias("_valid_to"), F.col("_op").alias("_op"))
+    tx = F.col("_tx") if "_tx" in state.columns else F.lit(0)
+    stored = F.struct(*fields, F.col("_valid_to").alias("_valid_to"), F.col("_op").alias("_op"), tx.alias("_tx"))
     brought = F.struct(*fields, F.col("_delete").alias("_delete"), F.col("_absent").alias("_absent"), F.col("_ord").alias("_ord"))
     both = state.select(*key, "_valid_from", stored.alias("s")).unionByName(pending.select(*key, "_valid_from", brought.alias("p")), allowMissingColumns=True)
     both = both.repartition(*key)
 
+    split = cfg.late_policy == "split"
     is_stored = F.col("s").isNotNull()
-    newest = F.max(F.when(is_stored, F.col("_valid_from"))).over(Window.partitionBy(*key))
     order = F.col("p._ord").asc() if cfg.same_batch_duplicates == "reject" else F.col("p._ord").desc()
-    nth = F.row_number().over(Window.partitionBy(*key, "_valid_from", "_stored").orderBy(order))
-    late = F.coalesce(F.col("_valid_from") < F.col("_newest"), F.lit(False))
-    fate = F.when(F.col("_stored"), F.lit("stored")).when(F.col("_nth") > 1, "dup_reject" if cfg.same_batch_duplicates == "reject" else "dup")
-    if cfg.late_policy != "split":
-        fate = fate.when(F.col("_late"), f"late_{cfg.late_policy}")
+    nth = F.row_number().over(Window.partitionBy(*key, "_valid_from", "_stored").orderBy(F.col("s._tx").desc(), order))
+    told = both.withColumns({"_stored": is_stored} | ({} if split else {"_newest": F.max(F.when(is_stored, F.col("_valid_from"))).over(Window.partitionBy(*key))})).withColumn("_nth", nth)
+    fate = F.when(F.col("_stored"), F.when(F.col("_nth") > 1, "superseded").otherwise("stored")).when(F.col("_nth") > 1, "dup_reject" if cfg.same_batch_duplicates == "reject" else "dup")
+    if not split:
+        fate = fate.when(F.col("_valid_from") < F.col("_newest"), f"late_{cfg.late_policy}")
     if cfg.deletes == "ignore":
         fate = fate.when(F.col("p._delete"), "ignored")
-    told = both.withColumns({"_stored": is_stored, "_newest": newest}).withColumns({"_nth": nth, "_late": late}).withColumn("_fate", fate.otherwise("live"))
-    refused = told.where(~F.col("_fate").isin("stored", "live")).select("_fate", *key, "_valid_from", "p.*")
+    told = told.withColumn("_fate", fate.otherwise("live"))
+    refused = told.where(~F.col("_fate").isin("stored", "superseded", "live")).select("_fate", *key, "_valid_from", "p.*")
 
-    live = told.where(F.col("_fate").isin("stored", "live")).groupBy(*key, "_valid_from").agg(F.first("s", ignorenulls=True).alias("s"), F.first("p", ignorenulls=True).alias("p"), F.max("_late").alias("_late"))
+    live = told.where(F.col("_fate").isin("stored", "live")).groupBy(*key, "_valid_from").agg(F.first("s", ignorenulls=True).alias("s"), F.first("p", ignorenulls=True).alias("p"))
     by_key = Window.partitionBy(*key).orderBy("_valid_from")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
     has_s, has_p = F.col("s").isNotNull(), F.col("p").isNotNull()
     s_dead = has_s & (F.col("s._op") == DELETE)
     upsert, delete = has_p & ~F.col("p._delete"), has_p & F.col("p._delete")
     live = live.withColumns({"_upsert": F.coalesce(upsert, F.lit(False)), "_delete": F.coalesce(delete, F.lit(False)), "_s_dead": F.coalesce(s_dead, F.lit(False)), "_s_alive": has_s & F.coalesce(~s_dead, F.lit(False))})
     live = live.withColumn("_dead", F.when(F.col("_upsert"), False).when(F.col("_delete"), True).otherwise(F.col("_s_dead")))
-    # A run is a stretch of one life: it ends with a death, and a row that revives a stored tombstone starts another.
-    deaths = F.coalesce(F.sum(F.col("_dead").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    revivals = F.sum((F.col("_upsert") & F.col("_s_dead")).cast("int")).over(by_key)
-    live = live.withColumns({"_run": deaths + revivals, "_prev_alive": F.coalesce(~F.lag("_dead").over(by_key), F.lit(False))})
-    by_run = Window.partitionBy(*key, "_run").orderBy("_valid_from").rowsBetween(Window.unboundedPreceding, 0)
     carry = cfg.absent_columns == "carry_forward"
+    chain = {"_prev_alive": F.coalesce(~F.lag("_dead").over(by_key), F.lit(False))}
+    # All rows that a batch brings under other policies than split are in time.
+    newest = F.max(F.when(has_s, F.col("_valid_from"))).over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    chain["_late"] = F.coalesce(F.col("_valid_from") < newest, F.lit(False)) if split else F.lit(False)
+    if carry:
+        # A run is a stretch of one life: it ends with a death, and a row that revives a stored tombstone starts another.
+        chain["_run"] = F.coalesce(F.sum(F.col("_dead").cast("int")).over(before), F.lit(0)) + F.sum((F.col("_upsert") & F.col("_s_dead")).cast("int")).over(so_far)
+
+    def in_run(x: Column) -> Column:
+        """The last x (a struct or null) of the row's run up to it: runs follow each other, so it is the key's last one, if that is of this run."""
+        last = F.last(F.when(x.isNotNull(), F.struct(F.col("_run").alias("run"), x.alias("x"))), ignorenulls=True).over(so_far)
+        return F.when(last["run"] == F.col("_run"), last["x"]["v"])
 
     def brings(c: str) -> Column:
         """What a pending upsert says of a column, in a struct; null if it must be inherited."""
@@ -71,31 +81,33 @@ def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig) -> Decision:
         return F.when(F.array_contains("p._absent", c), inherited).otherwise(own)
 
     tracked = cfg.tracked
+    alike = lambda value: F.struct(F.lit(0).alias("_"), *[comparable(value(c), kinds[c]).alias(c) for c in tracked])
     if carry:
+        live = live.withColumns(chain)
         known = {c: F.when(F.col("_upsert"), brings(c)).when(~F.col("_dead"), F.struct(F.col(f"s.{c}").alias("v"))) for c in tracked}
-        live = live.withColumns({f"_t_{c}": F.last(x, ignorenulls=True).over(by_run)["v"] for c, x in known.items()})
+        live = live.withColumns({f"_t_{c}": in_run(x) for c, x in known.items()}).withColumn("_tracked", alike(lambda c: F.col(f"_t_{c}")))
+        live = live.withColumn("_before", F.lag("_tracked").over(by_key))
     else:
-        live = live.withColumns({f"_t_{c}": F.when(F.col("_upsert"), F.col(f"p.{c}")).otherwise(F.col(f"s.{c}")) for c in tracked})
-    alike = lambda value: F.struct(F.lit(0).alias("_"), *[comparable(value(c), kinds[c]).alias(c) for c in tracked])
-    live = live.withColumn("_tracked", alike(lambda c: F.col(f"_t_{c}")))
+        live = live.withColumn("_tracked", alike(lambda c: F.when(F.col("_upsert"), F.col(f"p.{c}")).otherwise(F.col(f"s.{c}"))))
+        live = live.withColumns(chain | {"_before": F.lag("_tracked").over(by_key)})
     no_op = (
         F.when(F.col("_delete"), F.when(has_s, F.col("_s_dead")).otherwise(~F.col("_prev_alive")))
         .when(F.col("_upsert") & F.col("_s_alive"), F.col("_tracked").eqNullSafe(alike(lambda c: F.col(f"s.{c}"))))
         .when(F.col("_upsert") & has_s, False)
-        .when(F.col("_upsert"), F.col("_prev_alive") & F.col("_tracked").eqNullSafe(F.lag("_tracked").over(by_key)))
+        .when(F.col("_upsert"), F.col("_prev_alive") & F.col("_tracked").eqNullSafe(F.col("_before")))
         .otherwise(True)
     )
-    live = live.withColumn("_fresh", ~no_op).drop(*[f"_t_{c}" for c in tracked], "_tracked")
+    live = live.withColumn("_fresh", ~no_op).drop(*[f"_t_{c}" for c in tracked], "_tracked", "_before")
 
     left = live.where(has_s | F.col("_fresh"))
-    # Payload: a tombstone has its stored version's, or its predecessor's; what an upsert leaves out comes from the run's survivors.
+    # Payload: a tombstone has its stored version's, or its predecessor's, which is alive; what an upsert leaves out comes from the run's survivors.
     if carry:
         given = {c: F.when(F.col("_fresh") & F.col("_upsert"), brings(c)).when(has_s, F.struct(F.col(f"s.{c}").alias("v"))) for c in payload}
-        values = {c: F.last(x, ignorenulls=True).over(by_run)["v"] for c, x in given.items()}
+        values = {c: in_run(x) for c, x in given.items()}
     else:
-        whole = F.when(F.col("_fresh") & F.col("_upsert"), F.struct(*[F.col(f"p.{c}").alias(c) for c in payload], F.lit(0).alias("_"))).when(has_s, F.struct(*[F.col(f"s.{c}").alias(c) for c in payload], F.lit(0).alias("_")))
-        left = left.withColumn("_whole", F.last(whole, ignorenulls=True).over(by_run))
-        values = {c: F.col(f"_whole.{c}") for c in payload}
+        whole = lambda at: F.struct(*[F.col(f"{at}.{c}").alias(c) for c in payload], F.lit(0).alias("_"))
+        whole = F.last(F.when(F.col("_fresh") & F.col("_upsert"), whole("p")).when(has_s, whole("s")), ignorenulls=True).over(so_far)
+        values = {c: whole[c] for c in payload}
     prev_dead = F.lag("_dead").over(by_key)
     op = F.when(~F.col("_fresh"), F.col("s._op")).when(F.col("_delete"), DELETE).when(F.coalesce(prev_dead, F.lit(True)), INSERT).otherwise(UPDATE)
     left = left.withColumns({**{f"_v_{c}": x for c, x in values.items()}, "_op": op, "_valid_to": F.coalesce(F.lead("_valid_from").over(by_key), F.col("s._valid_to"))})
@@ -119,9 +131,7 @@ def missing_keys(current: DataFrame, seen: DataFrame, cfg: TableConfig, tx_time:
 
 def fold(log: DataFrame | None, pending: DataFrame, cfg: TableConfig, tx: int) -> DataFrame:
     """The log of beliefs after one more batch, in memory: schema columns, _valid_from, _valid_to, _op, _tx."""
-    from .reads import latest
-
     empty = pending.sparkSession.createDataFrame([], cfg.schema.add("_valid_from", "timestamp").add("_valid_to", "timestamp").add("_op", "string"))
-    state = empty if log is None else touched(latest(log, cfg), pending, cfg)
+    state = empty if log is None else touched(log, pending, cfg)
     new = decide(state, pending, cfg).changes.select(*cfg.names, "_valid_from", "_valid_to", "_op", F.lit(tx).alias("_tx"))
     return new if log is None else log.unionByName(new)

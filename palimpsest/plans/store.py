@@ -238,13 +238,32 @@ class Engine:
     @staticmethod
     def _marks(rows: DataFrame) -> DataFrame:
         """rows with two hashes of each row and its place in the input; the file that it was read from and how that was split are no part of it."""
-        line = F.regexp_replace(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), r'"file":"[^"]*",', "")
-        return rows.withColumns({"_mark_x": F.xxhash64(line), "_mark_y": F.crc32(line.cast("binary"))})
+        said: list = []
+
+        def say(c, kind: T.DataType) -> None:
+            # A hash passes over nulls, so it is told of each value whether it is one.
+            said.append(c.isNull())
+            if isinstance(kind, T.StructType):
+                for f in kind.fields:
+                    say(c.getField(f.name), f.dataType)
+            else:
+                said.append(F.to_json(c) if isinstance(kind, T.ArrayType | T.MapType) else c)
+
+        for f in rows.schema.fields:
+            if f.name == "_ord" and isinstance(f.dataType, T.StructType):
+                for part in f.dataType.fields:
+                    if part.name != "file":
+                        say(F.col("_ord").getField(part.name), part.dataType)
+            elif f.name == "_absent":
+                said.append(F.col("_absent"))
+            else:
+                say(F.col(f"`{f.name}`"), f.dataType)
+        return rows.withColumns({"_mark_x": F.xxhash64(*said), "_mark_y": F.xxhash64(F.lit("y"), *said)})
 
     @staticmethod
     def _print(batch: Batch, marked: DataFrame) -> str:
         """A hash of what a caller handed in: its rows with their places, as a set."""
-        r = marked.agg(F.count("*"), F.sum(F.col("_mark_x").cast("decimal(38,0)")), F.sum(F.col("_mark_y"))).first()
+        r = marked.agg(F.count("*"), *[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("_mark_x", "_mark_y")]).first()
         return f"{batch.table} {batch.full_snapshot} {batch.effective_at} {tuple(map(str, r))}"
 
     def apply(self, load_id: str, batches: list[Batch], metadata: dict | None = None, resolved: dict[str, DataFrame] | None = None) -> dict:
@@ -289,7 +308,7 @@ class Engine:
         rows = with_effective_time(rows, F.lit(b.effective_at).cast("timestamp"), cfg) if b.effective_at else rows
         staged = self._written(stage(rows, cfg, tx_time), f"{work}/{name}/staged")
         failed = staged.where("_reason is not null")
-        totals = staged.agg(F.count("*"), F.sum(F.col("_mark_x").cast("decimal(38,0)")), F.sum(F.col("_mark_y")), F.count("_reason"), F.count(F.when(F.col("_reason").isNull() & F.col("_delete"), 1))).first()
+        totals = staged.agg(F.count("*"), *[F.sum(F.col(c).cast("decimal(38,0)")) for c in ("_mark_x", "_mark_y")], F.count("_reason"), F.count(F.when(F.col("_reason").isNull() & F.col("_delete"), 1))).first()
         mark = f"{b.table} {b.full_snapshot} {b.effective_at} {tuple(map(str, totals[:3]))}"
         rows_in, bad, deletes = totals[0], totals[3], totals[4]
         n = dict.fromkeys(COUNTERS, 0) | {"rows_in": rows_in}
@@ -306,7 +325,7 @@ class Engine:
             absent = gone.count()
         buckets = self.buckets(name, commits)
         if loaded:
-            state = d.touched(reads.latest(self._touched_log(name, cfg, keyed, commits), cfg), keyed, cfg)
+            state = d.touched(self._touched_log(name, cfg, keyed, commits), keyed, cfg)
         else:
             state = self._read([], cfg)
         decision = d.decide(state, keyed, cfg)
