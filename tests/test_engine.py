@@ -445,3 +445,11 @@ def test_as_of_flags_and_prefixes(engine):
     assert [r.q for r in e.scan_prefix("pos", "2024-01-15", a="x").collect()] == [1, 1]
     with pytest.raises(ConfigError):
         e.scan_prefix("pos", b="1")
+
+
+def test_content_tells_nulls_and_neighbours_apart(spark):
+    """A row's marks differ if a value moves to the next column, is null, or stands elsewhere in the input; not if another file holds it."""
+    rows = [("x", None, None, "a", 1), (None, "x", None, "a", 1), (None, None, None, "a", 1), ("", None, None, "a", 1), ("x", None, None, "a", 2), ("x", None, ["x", None], "a", 1), ("x", None, [None, "x"], "a", 1), ("x", None, None, "b", 1)]
+    df = spark.createDataFrame(rows, "a string, b string, c array<string>, f string, r long").select("a", "b", "c", F.struct(F.col("f").alias("file"), F.col("r").alias("row")).alias("_ord"))
+    marks = [(r["_mark_x"], r["_mark_y"]) for r in Engine._marks(df).collect()]
+    assert len(set(marks[:7])) == 7 and marks[7] == marks[0]
