@@ -270,6 +270,25 @@ def test_a_trained_start_only_saves_rounds(spark, monkeypatch):
     assert (start.of([b"word", b"x"]) == hmm.first_shares([b"word", b"x"])).all()
 
 
+def test_the_start_learns_from_all_training_texts(spark, write, monkeypatch):
+    monkeypatch.setattr(hmm, "START_ROWS", 5)
+    docs = [(i, t) for i, t in SMALL] + passages(5)
+    frame = spark.read.parquet(write(documents=docs) + "/documents.parquet").select("doc_id", "text").repartition(4)
+    assert hmm.start_texts(frame, "text", "doc_id") == []  # all or none
+    want = Counter()
+    for i, t in docs:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != hmm.HELD_OUT:
+            own = [hmm.CLASSES, *[zlib.crc32(w[-3:]) % hmm.CLASSES for w in (t or "").encode().lower().split()], hmm.CLASSES]
+            want.update(zip(own, own[1:], strict=False))
+    got = hmm.class_pairs(frame, "text", "doc_id")
+    assert {(a, b): got[a, b] for a, b in zip(*map(list, got.nonzero()), strict=True)} == want
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    total = lambda: hmm.score(docs, rounds=2).where("not held_out").selectExpr("sum(score) / sum(n_tokens) s").first()["s"]
+    paired = total()
+    monkeypatch.setattr(hmm, "start_of", lambda *_: hmm.Start([]))
+    assert paired > total()
+
+
 def test_language_model(spark, write):
     docs = [(i, t) for i, t in SMALL] + passages(5)
     docs = list({i: (i, t) for i, t in docs}.values())
