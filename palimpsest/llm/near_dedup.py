@@ -6,7 +6,9 @@ of copies are one row from there on. Classes are banded: BANDS bands of ROWS min
 Candidates come without all pairs of a bucket. First each member of a bucket is paired with the bucket's leader, which every band draws anew. After links among those are confirmed and joined
 to components, only members of one bucket that are in different components are compared further, by signature and full set, within tiles of bounded size: the smaller components of a bucket meet
 the largest one's tiles and each other, and only links leave a tile. So every pair that shares a band ends compared or in one component. Where many unlike classes share a band, as documents do that share a long passage, a
-bucket is banded again first: its members meet only where they share a second band too, of the 31 others, and so on until fewer than BIG are outside the largest component. A pair at 0.75 shares none of 31 bands in 8 of a million cases.
+bucket is banded again first: its members meet only where they share a second band too, of the 31 others, and so on until fewer than BIG are outside the largest component. That finds nearly all links, and the rest exactly: buckets
+that are small once these have joined components go to tiles whole, and the members of those that are still big meet wherever they share one of their rarest shingles. Two sets of which one has n shingles share n - 0.75 n + 1
+of these, rounded down, at a similarity of 0.75 in any order of shingles that is the same for both, so whoever shares none is proven unlike. The order is by counts in CELLS cells of hashes; it decides the cost alone.
 
 Verification is sequential: after each STEP of signature bytes a pair is dropped if, given the matches so far and a flat prior, its similarity is 0.75 or more with a probability under MISS. Survivors are verified
 exactly on their full sets. For a component one link is enough, so each class tries its best candidate first, and the rest is verified only if it still joins two components.
@@ -32,6 +34,8 @@ BANDS, ROWS = 32, 4
 SIGNATURE, STEP, MISS = BANDS * ROWS, 16, 1e-6
 #: Classes in a tile; classes outside the largest component from which on a bucket is banded again, and how often that is done at most (what is still big then goes to tiles as it is).
 TILE, BIG, LEVELS = 256, 2048, 4
+#: Cells in which shingles of members of big buckets are counted.
+CELLS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _COEFFICIENTS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SIGNATURE), np.uint64)
 
@@ -251,7 +255,65 @@ def banded_again(members: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
+def _sets(batches):
+    """(record batch, its texts' shingles and where they begin), some hundred rows each; the last column is packed."""
+    unzip = zstandard.ZstdDecompressor()
+    for t in batches:
+        for start in range(0, t.num_rows, 500):
+            own = t.slice(start, 500)
+            yield own, *sets_of([unzip.decompress(p) for p in own.column(own.num_columns - 1).to_pylist()])
+
+
+def rarest(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those shingles of a set, the rarest, of which every similar enough set has one among its own."""
+    order = np.lexsort((values, counts[values % np.uint64(CELLS)]))
+    return values[order[: len(values) + (-PERCENT * len(values)) // 100 + 1]]
+
+
+def by_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """bucket, node, component for each of the rarest shingles of each member (node, component): whoever is similar enough meets in one of these buckets at least."""
+    import pyarrow as pa
+
+    def count(batches):
+        found = np.zeros(CELLS, np.int64)
+        for _, values, _ in _sets(batches):
+            found += np.bincount((values % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["cell", "n"])
+
+    rows = cut(members.join(texts, "node").select("node", "component", "packed"))
+    cells = rows.mapInArrow(over_batches(count), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    known = members.sparkSession.sparkContext.broadcast(counts)
+
+    def deal(batches):
+        for t, values, starts in _sets(batches):
+            own = [rarest(values[a:b], known.value) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), t.column(0).take(at), t.column(1).take(at)], names=["bucket", "node", "component"])
+
+    return rows.mapInArrow(over_batches(deal), "bucket bigint, node bigint, component bigint")
+
+
 def _residual(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between members of one bucket that are in different components, enough to join all that are similar; members: bucket, node, component."""
+    big = cut(_majors(members).where(F.col("others") > BIG).select("bucket"))
+    if big.isEmpty():
+        return _in_tiles(members, classes, texts)
+    found = cut(_in_tiles(cut(banded_again(members, classes)), classes, texts))
+    # Members of big buckets that share no second band: none is left uncompared but what rare shingles prove unlike.
+    labels = cut(joined(members.select("node", "component").distinct(), found))
+    rows = cut(members.join(big, "bucket", "left_semi").select("bucket", "node").join(labels, "node").select(*members.columns))
+    majors = cut(_majors(rows).select("bucket", (F.col("others") > BIG).alias("big")))
+    rest = rows.join(majors.where("not big"), "bucket", "left_semi")
+    still = majors.where("big")
+    if not still.isEmpty():
+        rest = rest.unionByName(by_rare_shingles(rows.join(still, "bucket", "left_semi").select("node", "component").distinct(), texts))
+    return found.unionByName(_in_tiles(cut(rest), classes, texts))
+
+
+def _in_tiles(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: links between members of one bucket that are in different components; members: bucket, node, component.
 
     Full sets come along, so a pair that survives is verified where it is found. Once two components are joined within a tile their other pairs are not looked at; only links leave.
@@ -259,7 +321,6 @@ def _residual(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     import pyarrow as pa
 
     need = least_matches()
-    members = cut(banded_again(members, classes))
     major = _majors(members).select("bucket", "major", F.ceil(F.col("top") / TILE).cast("int").alias("tiles"), F.ceil(F.col("others") / TILE).cast("int").alias("small_tiles"))
     rows = members.join(major, "bucket").join(classes.select("node", "n", "signature").join(texts, "node"), "node")
     is_major = F.col("component") == F.col("major")

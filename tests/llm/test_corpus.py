@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -116,6 +117,39 @@ def test_big_buckets_are_banded_again(spark, write, monkeypatch):
     assert got == near(docs)
 
 
+def one_band_in_common(monkeypatch):
+    """All texts share one band, and no others: what a pair of a big bucket may come to."""
+    monkeypatch.setattr(near_dedup, "BIG", 6)
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    signed = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda *args: signed(*args).withColumn("bands", F.array(F.lit(1).cast("long"), F.xxhash64("set"))))
+
+
+def big_bucket():
+    rng = random.Random(8)
+    shared = " ".join(f"p{i}" for i in range(120))
+    docs = [(k, shared + " " + " ".join(f"q{rng.randrange(9999)}" for _ in range(rng.randrange(60, 200)))) for k in range(40)]
+    return docs + [(200 + k, docs[k][1] + f" end{k}") for k in range(0, 40, 3)] + groups(5)[:30] + [(900, "a b c"), (901, "A b C"), (902, "a b")]
+
+
+def test_members_of_big_buckets_that_share_no_other_band_are_linked(spark, write, monkeypatch):
+    one_band_in_common(monkeypatch)
+    docs = big_bucket()
+    got = sorted(map(tuple, near_dedup.op10_near_dedup(spark, write(documents=docs)).collect()))
+    assert got == near(docs) and sum(not kept for *_, kept in got) > 20
+
+
+def test_similar_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 3, near_dedup.CELLS)
+    for _ in range(300):
+        common, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in rng.integers([4, 0, 0], [60, 12, 12]))
+        u, v = np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))
+        short = [near_dedup.rarest(x, counts) for x in (u, v)]
+        assert [len(x) for x in short] == [len(x) - -(-3 * len(x) // 4) + 1 for x in (u, v)]
+        assert not near_dedup.similar(u, v) or len(np.intersect1d(*short))
+
+
 def test_joining_components_equals_starting_anew(spark):
     rng = random.Random(6)
     pairs = lambda n: [(rng.randrange(60), rng.randrange(60)) for _ in range(n)]
