@@ -89,9 +89,18 @@ def engine_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def whole(batches):
         import pyarrow as pa
-
-        lines = [x for b in batches for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(lines) + "]"], pa.string())], names=["value"])
+        import pyarrow.compute as pc
+
+        said = lambda lines: pa.RecordBatch.from_arrays([lines], names=["value"])
+        yield said(pa.array(["["], pa.string()))
+        first = True
+        for b in batches:
+            lines = b.column(0).cast(pa.string())
+            if first and len(lines):
+                yield said(lines[:1])
+                lines, first = lines[1:], False
+            yield said(pc.binary_join_element_wise("", lines, ","))
+        yield said(pa.array(["]"], pa.string()))
 
     _raw_orders(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).mapInArrow(whole, "value string").write.text(path)
     return _from_files(spark, path, "json")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import ConfigError
+from .arrays import elements, heads
 
 DELETES, UPSERTS = ("delete", "d", "remove", "del"), ("", "upsert", "u", "insert", "i", "update")
 ENVELOPE = {"table", "load_id", "effective_at", "defaults", "metadata", "records"}
@@ -108,15 +109,16 @@ def from_records(spark: SparkSession, records: list, defaults: dict | None = Non
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one array of objects, or a folder of such; executors take them apart. A file that is cut off, has more behind the array or an element that is no object is an error: nothing of it is rows."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    # As the one element of an array: what follows the file's own array then breaks it or is a second element.
-    outer = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<array<map<string,string>>>", STRICT | {"mode": "FAILFAST"})
-    own = whole.select("file", outer.alias("outer"), "value")
-    sound = (F.size("outer") == 1) & F.coalesce(F.forall(F.element_at("outer", 1), lambda r: r.isNotNull()), F.lit(False))
-    wrong = F.raise_error(F.concat(F.lit("not one array of objects: "), F.col("file"))).cast("array<map<string,string>>")
-    checked = own.select("file", F.when(F.coalesce(sound, F.lit(False)), F.element_at("outer", 1)).otherwise(wrong).alias("rows"))
-    return decode_ops(checked.select("file", F.posexplode("rows")).select(F.col("col").alias("raw"), F.struct("file", F.col("pos").cast("bigint").alias("row")).alias("_ord")))
+    """A file that is one array of objects, or a folder of such; executors take them apart, split by split. A file that is cut off, has more behind the array or an element that is no object is an error: nothing of it is rows."""
+    own = elements(spark, path)
+    before = lambda sign: r"^[ \t\r\n]*" + sign + r"[ \t\r\n]*\{"
+    led = F.when(F.col("row") == 0, F.col("text").rlike(before(r"\["))).otherwise(F.col("text").rlike(before(",")))
+    bare = F.when(F.col("row") == 0, F.regexp_replace("text", before(r"\["), "{")).otherwise(F.regexp_replace("text", before(","), "{"))
+    # As the one element of an array: what follows the object then breaks it or is a second element.
+    told = own.select("file", "row", led.alias("led"), F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<map<string,string>>", STRICT | {"mode": "FAILFAST"}).alias("whole"))
+    sound = F.col("led") & (F.size("whole") == 1) & F.element_at("whole", 1).isNotNull()
+    wrong = F.raise_error(F.concat(F.lit("not one array of objects: "), F.col("file"), F.lit(", element "), F.col("row"))).cast("map<string,string>")
+    return decode_ops(told.select(F.when(F.coalesce(sound, F.lit(False)), F.element_at("whole", 1)).otherwise(wrong).alias("raw"), F.struct("file", "row").alias("_ord")))
 
 
 def parse_document(spark: SparkSession, text: str) -> Input:
@@ -145,13 +147,12 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> Input:
         return Input({None: read_jsonl(spark, path)})
     if kind == "csv":
         return Input({None: read_csv(spark, path)})
-    whole = spark.read.text(path, wholetext=True)
-    heads = {r["h"]: r["n"] for r in whole.groupBy(F.left(F.regexp_replace("value", r"^\s+", ""), F.lit(1)).alias("h")).agg(F.count("*").alias("n")).collect()}  # a row for each first character
-    if set(heads) == {"["}:
+    found = {r["head"]: r["n"] for r in heads(spark, path).groupBy("head").agg(F.count("*").alias("n")).collect()}  # a row for each first character
+    if set(found) == {"["}:
         return Input({None: read_array(spark, path)})
-    if sum(heads.values()) > 1:
+    if sum(found.values()) > 1:
         raise ConfigError(f"a folder of JSON files holds arrays of rows only: {path}")
-    return parse_document(spark, whole.first()[0] if heads else "")
+    return parse_document(spark, spark.read.text(path, wholetext=True).first()[0] if found else "")
 
 
 def read_string(spark: SparkSession, text: str, kind: str = "jsonl") -> Input:

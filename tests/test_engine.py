@@ -327,6 +327,26 @@ def test_a_folder_of_arrays_is_read_whole(engine, tmp_path):
         readers.read(e.spark, str(folder), "json")
 
 
+def test_an_array_is_read_in_splits(spark, tmp_path):
+    """Elements with brackets, quotes and escapes in strings, nested ones and ones longer than a split keep their place, and no task reads the file whole."""
+    rows = [{"id": f"{i}", "text": 'a}],{["\\' * (i % 5), "deep": {"a": [1, {"b": "}"}]}} for i in range(60)]
+    rows[30]["text"] = "x}" * 2000
+    (path,) = files_of(tmp_path, big_json=" \n" + json.dumps(rows, indent=1) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        df = readers.read(spark, path).rows[None]
+        assert df.rdd.getNumPartitions() > 5
+        found = sorted(df.select("_ord.row", "raw").collect())
+        for bad in ('[{"id": "1"}]}', '[{"id": "1"}],', '[{"id": "1"}}', '[{"id": "1"} {"id": "2"}]', '[[{"id": "1"}]]'):
+            with pytest.raises(Exception):  # noqa: B017
+                readers.read(spark, files_of(tmp_path, bad_json=bad)[0]).rows[None].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.row for r in found] == list(range(60))
+    assert [(r.raw["id"], r.raw["text"], json.loads(r.raw["deep"])) for r in found] == [(x["id"], x["text"], x["deep"]) for x in rows]
+
+
 def test_the_same_file_split_otherwise_is_the_same_content(engine, tmp_path):
     e, conf = engine, engine.spark.conf
     e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
