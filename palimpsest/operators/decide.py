@@ -19,28 +19,33 @@ INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 
 
 class Decision(NamedTuple):
-    #: Versions to write: schema columns, _valid_from, _valid_to, _op, _outcome (insert, update, delete; null for a stored version that is only closed), _late.
+    #: Versions to write: schema columns, _valid_from, _valid_to, _op, _outcome (insert, update, delete; null for a stored version that is only closed), _late, and the first column of dealt.
     changes: DataFrame
     #: Rows that take no part: _fate (dup, dup_reject, late_reject, late_quarantine, ignored), with the pending row's columns.
     refused: DataFrame
 
 
-def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig) -> Decision:
+def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig, dealt: dict[str, Column] | None = None) -> Decision:
     """state: schema columns, _valid_from, _valid_to, _op: the beliefs of the keys that pending names (of others it may hold any or none); with _tx the newest of a key and valid time counts, without it there is one.
-    pending: sound staged rows: schema columns, _valid_from, _delete, _absent, _ord."""
+    pending: sound staged rows: schema columns, _valid_from, _delete, _absent, _ord.
+    dealt: columns made of the key by which rows are dealt instead of the key; changes keep the first of them."""
     key, payload, kinds = list(cfg.business_key), cfg.payload, cfg.types
     fields = [F.col(c) for c in payload]
     tx = F.col("_tx") if "_tx" in state.columns else F.lit(0)
     stored = F.struct(*fields, F.col("_valid_to").alias("_valid_to"), F.col("_op").alias("_op"), tx.alias("_tx"))
     brought = F.struct(*fields, F.col("_delete").alias("_delete"), F.col("_absent").alias("_absent"), F.col("_ord").alias("_ord"))
     both = state.select(*key, "_valid_from", stored.alias("s")).unionByName(pending.select(*key, "_valid_from", brought.alias("p")), allowMissingColumns=True)
-    both = both.repartition(*key)
+    dealt = dealt or {}
+    lead = list(dealt)
+    both = both.withColumns(dealt).repartition(*lead) if lead else both.repartition(*key)
+    # They say no more than the key, but a window by the key and them needs no other exchange; the key comes first, as sorting is fastest by what tells most rows apart.
+    own = [*key, *lead]
 
     split = cfg.late_policy == "split"
     is_stored = F.col("s").isNotNull()
     order = F.col("p._ord").asc() if cfg.same_batch_duplicates == "reject" else F.col("p._ord").desc()
-    nth = F.row_number().over(Window.partitionBy(*key, "_valid_from", "_stored").orderBy(F.col("s._tx").desc(), order))
-    told = both.withColumns({"_stored": is_stored} | ({} if split else {"_newest": F.max(F.when(is_stored, F.col("_valid_from"))).over(Window.partitionBy(*key))})).withColumn("_nth", nth)
+    nth = F.row_number().over(Window.partitionBy(*own, "_valid_from", "_stored").orderBy(F.col("s._tx").desc(), order))
+    told = both.withColumns({"_stored": is_stored} | ({} if split else {"_newest": F.max(F.when(is_stored, F.col("_valid_from"))).over(Window.partitionBy(*own))})).withColumn("_nth", nth)
     fate = F.when(F.col("_stored"), F.when(F.col("_nth") > 1, "superseded").otherwise("stored")).when(F.col("_nth") > 1, "dup_reject" if cfg.same_batch_duplicates == "reject" else "dup")
     if not split:
         fate = fate.when(F.col("_valid_from") < F.col("_newest"), f"late_{cfg.late_policy}")
@@ -49,8 +54,8 @@ def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig) -> Decision:
     told = told.withColumn("_fate", fate.otherwise("live"))
     refused = told.where(~F.col("_fate").isin("stored", "superseded", "live")).select("_fate", *key, "_valid_from", "p.*")
 
-    live = told.where(F.col("_fate").isin("stored", "live")).groupBy(*key, "_valid_from").agg(F.first("s", ignorenulls=True).alias("s"), F.first("p", ignorenulls=True).alias("p"))
-    by_key = Window.partitionBy(*key).orderBy("_valid_from")
+    live = told.where(F.col("_fate").isin("stored", "live")).groupBy(*own, "_valid_from").agg(F.first("s", ignorenulls=True).alias("s"), F.first("p", ignorenulls=True).alias("p"))
+    by_key = Window.partitionBy(*own).orderBy("_valid_from")
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
     has_s, has_p = F.col("s").isNotNull(), F.col("p").isNotNull()
@@ -107,14 +112,14 @@ def decide(state: DataFrame, pending: DataFrame, cfg: TableConfig) -> Decision:
     else:
         whole = lambda at: F.struct(*[F.col(f"{at}.{c}").alias(c) for c in payload], F.lit(0).alias("_"))
         whole = F.last(F.when(F.col("_fresh") & F.col("_upsert"), whole("p")).when(has_s, whole("s")), ignorenulls=True).over(so_far)
-        values = {c: whole[c] for c in payload}
+        left, values = left.withColumn("_whole", whole), {c: F.col("_whole")[c] for c in payload}
     prev_dead = F.lag("_dead").over(by_key)
     op = F.when(~F.col("_fresh"), F.col("s._op")).when(F.col("_delete"), DELETE).when(F.coalesce(prev_dead, F.lit(True)), INSERT).otherwise(UPDATE)
     left = left.withColumns({**{f"_v_{c}": x for c, x in values.items()}, "_op": op, "_valid_to": F.coalesce(F.lead("_valid_from").over(by_key), F.col("s._valid_to"))})
     written = left.where(F.col("_fresh") | ~F.col("_valid_to").eqNullSafe(F.col("s._valid_to")))
     outcome = F.when(~F.col("_fresh"), F.lit(None)).when(F.col("_delete"), "delete").when(has_s | (F.col("_op") == UPDATE), "update").otherwise("insert")
     columns = [F.col(c) if c in key else F.col(f"_v_{c}").alias(c) for c in cfg.names]
-    changes = written.select(*columns, "_valid_from", "_valid_to", "_op", outcome.alias("_outcome"), (F.col("_fresh") & F.col("_late")).alias("_late"))
+    changes = written.select(*columns, "_valid_from", "_valid_to", "_op", outcome.alias("_outcome"), (F.col("_fresh") & F.col("_late")).alias("_late"), *lead[:1])
     return Decision(changes, refused)
 
 

@@ -15,6 +15,7 @@ from ..plans.config import TableConfig
 from ..plans.files import Files
 from ..plans.store import Engine, EngineError
 from .decide import DELETE, touched
+from .reads import _newest
 
 FORMAT = "bitemporal-open-v1"
 
@@ -161,7 +162,12 @@ class Publisher:
         return self.engine.spark.read.schema(schema).parquet(*map(self.files.at, names)).groupBy(*parts).agg(F.sum("count").alias("count"))
 
     def current(self) -> DataFrame:
-        return consolidate(self.read(), self.cfg).where("_is_current")
+        """consolidate()'s current rows: only the newest belief of a key's last start can be open, so one aggregate by key finds it."""
+        rows = self.read()
+        start, end, ops = self.cfg.start_end_ops
+        newest = _newest(rows, list(self.cfg.business_key), F.struct(F.col(start), F.col("_tx_time"))).select(*rows.columns)
+        alive = F.col("_op") != DELETE if ops else F.lit(True)
+        return newest.withColumn("_is_current", alive & F.col(end).isNull()).where("_is_current")
 
     def finalize(self) -> dict:
         """All parts become one sorted log, and a materialized current table stands beside it."""
@@ -171,7 +177,9 @@ class Publisher:
         key = list(self.cfg.business_key)
         entry = self._append(rows.repartition(*key).sortWithinPartitions(*key, start, "_tx_time"), self.watermark, 0, [], live, "final")
         to = f"current/n={entry['n']:010d}"
-        self.current().write.format(self.kind).save(self.files.at(to))
+        now = self.current()
+        now.write.format(self.kind).save(self.files.at(to))
         self.files.replace(json.dumps({"current": to, "view": view_sql(self.cfg, self.table)}), "_current.json")
         self._sweep()
-        return entry | {"current": to, "log_rows": self.read().count(), "current_rows": self.current().count()}
+        # Counts of what was written: the entry's are of its part, which is now the only one.
+        return entry | {"current": to, "log_rows": entry["rows"], "current_rows": self.engine.spark.read.format(self.kind).schema(now.schema).load(self.files.at(to)).count()}

@@ -328,10 +328,11 @@ class Engine:
             state = d.touched(self._touched_log(name, cfg, keyed, commits), keyed, cfg)
         else:
             state = self._read([], cfg)
-        decision = d.decide(state, keyed, cfg)
+        # Dealt as versions are written, so that one exchange serves both.
+        decision = d.decide(state, keyed, cfg, {"_bucket": self._bucket(cfg, buckets), "_share": self._share(cfg, buckets, 4)})
         out = f"tables/{name}/versions/txn={txn:020d}"
-        stamped = decision.changes.withColumns({"_tx": tx_time, "_txn_id": F.lit(txn).cast("bigint"), "_schema_version": F.lit(cfg.schema_version), "_bucket": self._bucket(cfg, buckets)})
-        self._put(stamped, cfg, buckets, out)
+        stamped = decision.changes.withColumns({"_tx": tx_time, "_txn_id": F.lit(txn).cast("bigint"), "_schema_version": F.lit(cfg.schema_version)})
+        stamped.sortWithinPartitions("_bucket", *cfg.business_key, "_valid_from").write.partitionBy("_bucket").parquet(self.files.at(out))
         data = [out]
         written = self._read([out], cfg, extra="_outcome string, _late boolean")
         by = {r["_outcome"]: (r["n"], r["late"]) for r in written.groupBy("_outcome").agg(F.count("*").alias("n"), F.sum(F.col("_late").cast("long")).alias("late")).collect()}
@@ -363,11 +364,15 @@ class Engine:
 
     def _put(self, stamped: DataFrame, cfg: TableConfig, buckets: int, name: str) -> None:
         """Writes versions with _bucket by bucket, each bucket dealt over several tasks by key; sorted by key and time, so that statistics of row groups serve point reads."""
-        shares = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
-        share = F.pmod(F.xxhash64(F.lit("share"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cfg.business_key]), F.lit(shares))
+        share = self._share(cfg, buckets)
         order = [c for c in (*cfg.business_key, "_valid_from", "_tx") if c in stamped.columns]
         stamped.repartition("_bucket", share).sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(self.files.at(name))
 
+    def _share(self, cfg: TableConfig, buckets: int, times: int = 1):
+        """The part of its bucket that a key is in, of so many that all buckets have `times` the session's shuffle partitions: more are dealt more evenly."""
+        shares = max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) * times // buckets))
+        return F.pmod(F.xxhash64(F.lit("share"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cfg.business_key]), F.lit(shares))
+
     def _quarantine(self, failed: DataFrame, late: DataFrame, cfg: TableConfig, txn: int, tx_time) -> DataFrame:
         values = F.map_filter(F.create_map(*[x for c in cfg.names for x in (F.lit(c), F.when(F.array_contains("_absent", c), F.lit(None)).otherwise(F.col(c).cast("string") if not isinstance(cfg.types[c], T.ArrayType | T.MapType | T.StructType | T.BinaryType) else F.base64(c) if isinstance(cfg.types[c], T.BinaryType) else F.to_json(c)))]), lambda k, v: v.isNotNull())
         one = failed.select(F.col("_reason").alias("reason"), F.coalesce("_raw", values).alias("raw"), "_delete", F.col("_override"), F.to_json(F.struct("_ord")).alias("o"))

@@ -347,6 +347,33 @@ def test_an_array_is_read_in_splits(spark, tmp_path):
     assert [(r.raw["id"], r.raw["text"], json.loads(r.raw["deep"])) for r in found] == [(x["id"], x["text"], x["deep"]) for x in rows]
 
 
+def test_a_batch_is_shuffled_once_to_be_decided_and_written(spark):
+    from palimpsest.operators.decide import decide
+    from palimpsest.plans.queries import ORDERS, _none, _orders
+
+    pending, key = _orders(spark, "/root/testdata/sf0.001"), F.col("o_custkey")
+    plain = decide(_none(ORDERS, spark), pending, ORDERS).changes
+    dealt = decide(_none(ORDERS, spark), pending, ORDERS, {"_bucket": F.pmod(key, F.lit(4)).cast("int"), "_share": F.pmod(key, F.lit(7))}).changes
+    assert dealt.sortWithinPartitions("_bucket", "o_custkey", "_valid_from")._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert sorted(map(str, dealt.drop("_bucket").collect())) == sorted(map(str, plain.collect()))
+    assert dealt.where("_bucket <> pmod(o_custkey, 4)").count() == 0
+
+
+def test_current_rows_of_a_publication_are_those_of_its_whole_log(engine, tmp_path):
+    e = engine
+    e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
+    put(e, "t", "1", [{"id": str(i), "v": "a"} for i in range(9)], at="2024-01-01T00:00:00Z")
+    put(e, "t", "2", [{"id": str(i), "v": "b"} for i in range(5)], at="2023-01-01T00:00:00Z")
+    put(e, "t", "3", [{"id": str(i), "_op": "delete"} if i % 2 else {"id": str(i), "v": "c"} for i in range(4, 9)], at="2025-01-01T00:00:00Z")
+    p = Publisher(e, "t", str(tmp_path / "out"))
+    p.publish()
+    told = p.finalize()
+    want = consolidate(p.read(), p.cfg).where("_is_current")
+    assert p.current().columns == want.columns and "Window" not in p.current()._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(p.current().collect()) == sorted(want.collect())
+    assert told["current_rows"] == want.count() == 7 and told["log_rows"] == p.read().count()
+
+
 def test_the_same_file_split_otherwise_is_the_same_content(engine, tmp_path):
     e, conf = engine, engine.spark.conf
     e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
