@@ -32,8 +32,8 @@ def from_frame(df: DataFrame, cfg: TableConfig, order: Column | None = None, del
     )
 
 
-def from_raw(df: DataFrame, cfg: TableConfig) -> DataFrame:
-    """Rows of RAW and _ord, coerced; _bad names the first column whose value was refused."""
+def from_raw(df: DataFrame, cfg: TableConfig, *more: str) -> DataFrame:
+    """Rows of RAW and _ord, coerced; _bad names the first column whose value was refused. more: columns that stay as they are."""
     made = {c: coerce(F.element_at("raw", c), cfg.types[c]) for c in cfg.names}
     bad = F.lit(None).cast("string")
     for c in reversed(cfg.names):
@@ -41,7 +41,7 @@ def from_raw(df: DataFrame, cfg: TableConfig) -> DataFrame:
     names = F.array(*map(F.lit, cfg.names))
     return df.select(
         *[made[c][0].alias(c) for c in cfg.names], F.coalesce("_delete", F.lit(False)).alias("_delete"), F.col("_override"),
-        F.filter(names, lambda c: ~F.map_contains_key("raw", c)).alias("_absent"), bad.alias("_bad"), "_ord", F.col("raw").alias("_raw"),
+        F.filter(names, lambda c: ~F.map_contains_key("raw", c)).alias("_absent"), bad.alias("_bad"), "_ord", F.col("raw").alias("_raw"), *more,
     )
 
 

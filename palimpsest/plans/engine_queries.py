@@ -258,9 +258,9 @@ def engine_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event holds for two hours; imported twice, the second time nothing changes."""
     cfg = TableConfig("sessions", ("user_id",), (("user_id", "long"), ("event_type", "string")))
-    raw = _table(spark, sf_dir, "events").select(F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type")).alias("raw"), F.lit(False).alias("_delete"), F.lit(None).cast("timestamp").alias("_override"), F.col("event_id").alias("_ord"), F.col("ts").cast("timestamp").alias("_start"))
+    raw = _table(spark, sf_dir, "events").select(F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type")).alias("raw"), F.lit(False).alias("_delete"), F.lit(None).cast("timestamp").alias("_override"), F.col("event_id").alias("_ord"), F.col("ts").cast("timestamp").alias("_start"), (F.col("ts").cast("timestamp") + F.expr("interval 2 hours")).alias("_end"))
     with _database(spark, cfg) as e:
-        typed = from_raw(raw, cfg).join(raw.select("_ord", "_start", (F.col("_start") + F.expr("interval 2 hours")).alias("_end")), "_ord")
+        typed = from_raw(raw, cfg, "_start", "_end")
         for n in (1, 2):
             e.apply(str(n), [Batch("sessions", from_intervals(typed, cfg))])
         return _plain(e.log("sessions").select("user_id", "event_type", F.col("_valid_from").alias("valid_from"), F.col("_valid_to").alias("valid_to"), F.col("_op").alias("op")))

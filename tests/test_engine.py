@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.cli import load, main
 from palimpsest.operators.publish import Publisher, consolidate
-from palimpsest.operators.stage import from_frame
+from palimpsest.operators.stage import from_frame, from_raw
 from palimpsest.plans import archive
 from palimpsest.plans.config import ConfigError, Gate, TableConfig
 from palimpsest.plans.store import Batch, Engine, EngineError, Options
@@ -374,6 +374,13 @@ def test_current_rows_of_a_publication_are_those_of_its_whole_log(engine, tmp_pa
     assert told["current_rows"] == want.count() == 7 and told["log_rows"] == p.read().count()
 
 
+def test_interval_columns_stay_beside_what_is_coerced(spark):
+    cfg = TableConfig("t", ("id",), (("id", "long"), ("v", "string")))
+    raw = spark.sql("select map('id', '1', 'v', 'x') raw, false _delete, cast(null as timestamp) _override, 1L _ord, timestamp'2024-01-01' _start, timestamp'2024-01-02' _end")
+    r = from_raw(raw, cfg, "_start", "_end").first()
+    assert (r.id, r.v, r._start.day, r._end.day) == (1, "x", 1, 2)
+
+
 def test_the_same_file_split_otherwise_is_the_same_content(engine, tmp_path):
     e, conf = engine, engine.spark.conf
     e.create_table(TableConfig("t", ("id",), (("id", "string"), ("v", "string"))))
