@@ -390,8 +390,8 @@ class Engine:
         """How many buckets a table's versions are in: what the newest commit that says so says."""
         return next((c["buckets"][table] for c in reversed(commits) if table in c.get("buckets", {})), 16)
 
-    def _bucket(self, cfg: TableConfig, buckets: int):
-        return F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cfg.business_key]), F.lit(buckets)).cast("int")
+    def _bucket(self, cfg: TableConfig, buckets: int, key: dict | None = None):
+        return F.pmod(F.xxhash64(*[F.coalesce((key[c] if key else F.col(c)).cast("string"), F.lit("")) for c in cfg.business_key]), F.lit(buckets)).cast("int")
 
     def _read(self, names: list[str], cfg: TableConfig, extra: str = "") -> DataFrame:
         """Versions by name with the current schema; columns that older files lack are null."""
@@ -449,37 +449,43 @@ class Engine:
 
     # Reading.
 
-    def _state(self, table: str, tx: int | None = None) -> tuple[DataFrame, TableConfig]:
-        commits = self.commits()
+    def _state(self, table: str, tx: int | None = None, bucket: bool = False, commits: list[dict] | None = None) -> tuple[DataFrame, TableConfig]:
+        commits = self.commits() if commits is None else commits
         cfg = self.config(table, commits)
         # Whole transactions that a transaction time excludes are not even opened.
         if tx is not None and not any("compacted" in c for c in commits):
             commits = [c for c in commits if c["tx_time"] <= tx]
-            return self._read(self.data_of(table, commits), cfg).drop("_bucket"), cfg
-        return self.log(table, commits), cfg
+            log = self._read(self.data_of(table, commits), cfg)
+            return log if bucket else log.drop("_bucket"), cfg
+        return self.log(table, commits, bucket), cfg
 
     def _one(self, rows: DataFrame) -> dict | None:
         found = rows.limit(1).collect()
         return found[0].asDict(recursive=True) if found else None
 
-    def _keyed(self, log: DataFrame, cfg: TableConfig, key: dict) -> DataFrame:
+    def _keyed(self, table: str, key: dict, tx: int | None = None) -> tuple[DataFrame, TableConfig]:
+        """One entity's rows: only the folders of its bucket are opened."""
+        commits = self.commits()
+        log, cfg = self._state(table, tx, True, commits)
         if set(key) != set(cfg.business_key):
             raise ConfigError(f"a key names {', '.join(cfg.business_key)}")
-        return reads.by_key(log, **{c: F.lit(v).cast(cfg.types[c]) for c, v in key.items()})
+        # Zeros of both signs are equal, but not as text, which buckets are made of.
+        if not any(isinstance(cfg.types[c], T.DoubleType | T.FloatType) for c in cfg.business_key):
+            log = log.where(F.col("_bucket") == self._bucket(cfg, self.buckets(table, commits), {c: F.lit(v).cast(cfg.types[c]) for c, v in key.items()}))
+        return reads.by_key(log.drop("_bucket"), **{c: F.lit(v).cast(cfg.types[c]) for c, v in key.items()}), cfg
 
     def get_current(self, table: str, **key) -> dict | None:
-        log, cfg = self._state(table)
-        return self._one(reads.current(self._keyed(log, cfg, key), cfg))
+        own, cfg = self._keyed(table, key)
+        return self._one(reads.current(own, cfg))
 
     def get_as_of(self, table: str, valid_time, tx_micros: int | None = None, **key) -> dict | None:
-        log, cfg = self._state(table, tx_micros)
+        own, cfg = self._keyed(table, key, tx_micros)
         tx = F.timestamp_micros(F.lit(tx_micros)) if tx_micros is not None else None
-        return self._one(reads.with_current(reads.as_of(self._keyed(log, cfg, key), cfg, valid_time, tx), tx))
+        return self._one(reads.with_current(reads.as_of(own, cfg, valid_time, tx), tx))
 
     def get_history(self, table: str, **key) -> list[dict]:
-        log, cfg = self._state(table)
-        own = reads.history(self._keyed(log, cfg, key), cfg)
-        return [r.asDict(recursive=True) for r in own.orderBy(F.desc("_valid_from"), F.desc("_tx")).collect()]
+        own, cfg = self._keyed(table, key)
+        return [r.asDict(recursive=True) for r in reads.history(own, cfg).orderBy(F.desc("_valid_from"), F.desc("_tx")).collect()]
 
     def scan_current(self, table: str) -> DataFrame:
         log, cfg = self._state(table)

@@ -374,6 +374,17 @@ def test_current_rows_of_a_publication_are_those_of_its_whole_log(engine, tmp_pa
     assert told["current_rows"] == want.count() == 7 and told["log_rows"] == p.read().count()
 
 
+def test_point_reads_open_one_bucket(engine):
+    e = engine
+    e.create_table(TableConfig("t", ("id",), (("id", "long"), ("v", "string"))))
+    put(e, "t", "1", [{"id": str(i), "v": f"v{i}"} for i in range(40)])
+    own, _ = e._keyed("t", {"id": 7})
+    assert "(_bucket" in own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("]")[0]
+    assert [e.get_current("t", id=i)["v"] for i in (0, 7, "39")] == ["v0", "v7", "v39"] and e.get_current("t", id=41) is None
+    e.compact("t", 3)
+    assert [e.get_current("t", id=i)["v"] for i in range(5)] == [f"v{i}" for i in range(5)] and len(e.get_history("t", id=6)) == 1
+
+
 def test_interval_columns_stay_beside_what_is_coerced(spark):
     cfg = TableConfig("t", ("id",), (("id", "long"), ("v", "string")))
     raw = spark.sql("select map('id', '1', 'v', 'x') raw, false _delete, cast(null as timestamp) _override, 1L _ord, timestamp'2024-01-01' _start, timestamp'2024-01-02' _end")
